@@ -5,11 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, sharding
+from . import decontam, langid, mih, pagetext, secretscan, sharding
 from .common import table
 
 
+def op1_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op3_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -18,5 +31,9 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_consistent_hash_sharding, op7_benchmark_decontamination)}
+def op10_secret_entropy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_crf_language_id, op2_multi_index_hashing, op3_tag_path_ratios, op4_consistent_hash_sharding, op7_benchmark_decontamination, op10_secret_entropy_scan)}
 ORACLE_SQL: dict[str, str] = {"op7_benchmark_decontamination": decontam.SQL}
