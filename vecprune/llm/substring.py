@@ -35,8 +35,8 @@ from .common import written
 
 WINDOW, GRAM, HOT = 20, 5, 2000
 SHARD_RUNS = 40_000
-BATCH_WORDS = 1_500_000
-MAX_BROADCAST_DOCS = 1_000_000
+BATCH_WORDS = 500_000
+MAX_BROADCAST_DOCS = 300_000
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15)
 _B_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -57,7 +57,7 @@ def split_words(text: str | None) -> list[bytes]:
 class Hashes(dict):
     """Hashes of words; forgets them all when there are too many."""
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -328,7 +328,7 @@ def intervals(docs: DataFrame) -> DataFrame:
     known = ranked.where("settled").select("_row", "start", "stop")
     wanted = ranked.where("NOT settled").groupBy("_row").agg(F.collect_list(F.struct("anchor", "start", "stop", (F.col("contents") > HOT).alias("hot"))).alias("runs"))
     wanted = written(wanted, "wanted-runs")
-    segments = written(_segments(docs, _small(wanted)), "segments")
+    segments = written(_segments(docs, wanted), "segments")
     known = known.union(segments.where("words IS NULL").select("_row", "start", "stop"))
     dealt = segments.where("words IS NOT NULL")
     shards = max(1, -(-dealt.count() // SHARD_RUNS), int(spark.conf.get("spark.sql.shuffle.partitions")) if dealt.count() > SHARD_RUNS else 1)
