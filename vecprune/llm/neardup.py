@@ -8,7 +8,7 @@ documents with an empty coordinate get twice the time. Two sets agree in a coord
 weighted Jaccard similarity.
 
 Equal texts are one text first. ``BANDS`` bands of ``ROWS`` coordinates make the buckets. Every text of a bucket is
-compared with the bucket's smallest, exactly; components of what passes become classes. Buckets that then hold more than
+compared with the bucket's first and last, exactly; components of what passes become classes. Buckets that then hold more than
 one class are compared in full between those classes, in blocks of bounded size, in memory; only links leave a block.
 Links at a similarity of 0.8 or more; a pair at 0.8 shares no bucket with probability 2 in 10,000.
 
@@ -34,7 +34,7 @@ from .components import components
 
 K, ROWS, BANDS = 64, 4, 16
 SHINGLE, LEAST = 5, 0.8
-BLOCK = 400
+BLOCK = 1000
 WORD = re.compile(r"\w+")
 _U = np.uint64
 _FACTOR = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -179,6 +179,35 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(kernel, "a long, b long")
 
 
+def links_between(texts: list[str], roots: np.ndarray, sides: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that link different classes, at most one for each merging of two. ``sides``: only pairs across them.
+
+    One document is compared with all others at once. Members of the largest class need no turn of their own, as every
+    pair of different classes has a member outside of it.
+    """
+    doc, element, weight = shingles(texts, Words())
+    kinds, code = np.unique(element, return_inverse=True)
+    starts, total = np.searchsorted(doc, np.arange(len(texts))), np.bincount(doc, weights=weight, minlength=len(texts))
+    _, label = np.unique(roots, return_inverse=True)
+    own, xs, ys = np.zeros(len(kinds), dtype=weight.dtype), [], []
+    for x in np.flatnonzero(label != np.bincount(label).argmax()):
+        others = label != label[x]
+        if sides is not None:
+            others &= sides != sides[x]
+        if not others.any():
+            continue
+        part = slice(starts[x], starts[x + 1] if x + 1 < len(texts) else len(code))
+        own[code[part]] = weight[part]
+        both = np.add.reduceat(np.minimum(weight, own[code]), starts)
+        own[code[part]] = 0
+        found = np.flatnonzero(others & (both >= LEAST * (total + total[x] - both)))
+        for other in np.unique(label[found]):
+            xs.append(x)
+            ys.append(found[label[found] == other][0])
+            label[label == other] = label[x]
+    return np.array(xs, dtype=np.int64), np.array(ys, dtype=np.int64)
+
+
 def _between(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between different classes of one bucket. ``members``: key, id, root, n (members of the bucket)."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -187,23 +216,10 @@ def _between(members: DataFrame, texts: DataFrame) -> DataFrame:
     spread = spread.select("key", "id", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        words, up = Words(), {}
-
-        def find(x: int) -> int:
-            while up.get(x, x) != x:
-                x = up[x]
-            return x
-
-        sets = [weighted_set(t, words) for t in pdf["text"]]
-        ids, roots, own = (pdf[c].tolist() for c in ("id", "root", "own"))
-        i, j, a, b = pdf["i"].iloc[0], pdf["j"].iloc[0], [], []
-        for x in range(len(ids)):
-            for y in range(x):
-                if (i == j or own[x] != own[y]) and (rx := find(roots[x])) != (ry := find(roots[y])) and similarity(sets[x], sets[y]) >= LEAST:
-                    up[max(rx, ry)] = min(rx, ry)
-                    a.append(ids[x])
-                    b.append(ids[y])
-        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+        cross = pdf["own"].to_numpy() if pdf["i"].iloc[0] != pdf["j"].iloc[0] else None
+        ids = pdf["id"].to_numpy()
+        x, y = links_between(pdf["text"].tolist(), pdf["root"].to_numpy(), cross)
+        return pd.DataFrame({"a": ids[x], "b": ids[y]})
 
     return spread.join(texts, "id").groupBy("key", "i", "j").applyInPandas(kernel, "a long, b long")
 
@@ -215,11 +231,12 @@ def classes(docs: DataFrame) -> DataFrame:
     copies = signed.groupBy("copy").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     copies = written(copies, "distinct-texts")
     keys = copies.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
-    members = written(keys.join(buckets, "key").select("key", "id", "least"), "buckets")
+    buckets = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    members = written(keys.join(buckets, "key"), "buckets")
     texts = rows.where(F.col("text").isNotNull()).join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = written(texts, "texts")
-    pairs = members.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    ends = members.select("id", F.explode(F.array("least", "most")).alias("end")).where("id <> end")
+    pairs = ends.select(F.greatest("id", "end").alias("a"), F.least("id", "end").alias("b")).distinct()
     links = written(_verified(pairs, texts), "links")
     roots = components(links)
     rooted = members.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))

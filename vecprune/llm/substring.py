@@ -36,7 +36,6 @@ from .common import written
 WINDOW, GRAM, HOT = 20, 5, 2000
 SHARD_RUNS = 40_000
 BATCH_WORDS = 500_000
-MAX_BROADCAST_DOCS = 300_000
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15)
 _B_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -310,11 +309,6 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "_row").select("doc_id", "_row", "text", "runs").mapInArrow(kernel, schema)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, for a broadcast if it has few documents; else for a shuffle."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_DOCS else df
-
-
 def intervals(docs: DataFrame) -> DataFrame:
     """(_row, start, stop): stretches of words covered by repeated windows. ``docs``: doc_id, _row, text."""
     spark = docs.sparkSession
@@ -351,7 +345,7 @@ def _covered(spans: list[dict] | None, n: int) -> np.ndarray:
 def _with_spans(docs: DataFrame) -> DataFrame:
     rows = _numbered(docs)
     spans = written(intervals(rows).groupBy("_row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    return rows.join(_small(spans), "_row", "left").select("doc_id", "text", "spans")
+    return rows.join(spans, "_row", "left").select("doc_id", "text", "spans")
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
