@@ -1,11 +1,11 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 A document's lines, trimmed, are reduced to distinct lines first. A line's shingles are the up to ``SHINGLE`` characters
-from every word's start; a line with fewer than one word start in 12 characters takes those from every character. A
+from every word's start; a line with fewer than one word in 12 characters takes those from every character. A
 signature is the least of the shingles' hashes under ``BANDS * ROWS`` permutations (exclusive-or with a seed, over four
 hash functions), all made in one aggregation of the exploded shingles. Bands of ``ROWS`` make buckets. Every line of a
-bucket is compared with the bucket's least and greatest, by exact Jaccard similarity; distributed union-find makes
-components. Buckets that then hold several components are compared again: all pairs of different components in buckets of
+bucket is compared with four of the bucket's lines (the first and last by hash, and by a hash of that), by exact Jaccard
+similarity; distributed union-find makes components. Buckets that then hold several components are compared again: all pairs of different components in buckets of
 up to ``SMALL`` lines, every line with the least line of every other component in larger ones, until nothing changes. A
 bound from bit marks of the shingles, inside the join, drops nearly all pairs there that can't be similar.
 
@@ -24,54 +24,64 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-SHINGLE, BANDS, ROWS, LEAST, SMALL = 8, 10, 3, 0.8, 64
+SHINGLE, BANDS, ROWS, LEAST, SMALL, MARKS = 8, 10, 3, 0.8, 64, 16
 MAX_BROADCAST_IDS = 1_000_000
 
 
 def shingles_of(line: Column) -> Column:
-    starts = F.regexp_extract_all(line, F.lit(r"(?s)(?<!\S)(?=(\S.{0,%d}))" % (SHINGLE - 1)), F.lit(1))
+    """The shingles of a trimmed line, as often as they occur. Every match of the first pattern takes a whole word."""
+    starts = F.regexp_extract_all(line, F.lit(r"(?s)(?=(\S.{0,%d}))\S++\s*+" % (SHINGLE - 1)), F.lit(1))
     every = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}))" % SHINGLE), F.lit(1))
-    return F.when(F.size(starts) * 12 < F.length(line), every).otherwise(starts)
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when((spaces + 1) * 12 < F.length(line), every).otherwise(starts)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """_row, doc_id, at, line of every line."""
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-    return rows.select("_row", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"[\t\r\x0B\x0C]", " ")))
+    return rows.select("_row", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.trim("line", F.lit(" \t\r\x0b\x0c")))
 
 
 def _seed(i: int) -> int:
     """Permutations of one hash function differ in their top bits, so that they pick from different parts of the hashes."""
-    top = (i // 4) << 60
-    low = (0x9E3779B97F4A7C15 * (i + 1)) % (1 << 60)
+    top = (i // 4) << 61
+    low = (0x9E3779B97F4A7C15 * (i + 1)) % (1 << 61)
     value = top | low
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
 def _banded(lines: DataFrame) -> DataFrame:
-    """id, bands, size (shingles) and w0 to w3 (a bit for each shingle, by its hash) of every distinct line that isn't blank."""
-    distinct = lines.select("line").where("line <> ''").groupBy("line").agg(F.count("*").alias("_n"))
-    each = distinct.select("line", F.explode(shingles_of(F.col("line"))).alias("s")).select("line", F.xxhash64("s").alias("s0"))
-    each = each.select("line", "s0", *[F.xxhash64("s0", F.lit(j)).alias(f"s{j}") for j in (1, 2, 3)])
-    least = [F.min(F.col(f"s{i % 4}").bitwiseXOR(F.lit(_seed(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    word, bit = F.shiftrightunsigned("s0", 6).bitwiseAND(F.lit(3)), F.expr("shiftleft(1L, cast(s0 & 63 as int))")
-    marks = [F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0)).alias(f"w{w}") for w in range(4)]
-    signed = each.groupBy("line").agg(*least, *marks, F.count("*").alias("size"))
-    return signed.select(F.xxhash64("line").alias("id"), "size", "w0", "w1", "w2", "w3", F.array(*[F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
-
-
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, bands) of every distinct line that isn't blank."""
+    distinct = lines.where("line <> ''").select(F.xxhash64("line").alias("id"), "line").groupBy("id").agg(F.first("line").alias("line"))
+    each = distinct.select("id", F.explode(shingles_of(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("s0"))
+    each = each.select("id", "s0", *[F.xxhash64("s0", F.lit(j)).alias(f"s{j}") for j in (1, 2, 3)])
+    signed = each.groupBy("id").agg(*[F.min(F.col(f"s{i % 4}").bitwiseXOR(F.lit(_seed(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)])
+    return signed.select("id", F.array(*[F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """id, s (distinct shingles, by 64-bit hashes) of every line."""
+    return texts.select("id", F.array_distinct(F.transform(shingles_of(F.col("line")), lambda s: F.xxhash64(s))).alias("s"))
+
+
+def _marks(sets: DataFrame) -> DataFrame:
+    """id, size (of s) and words w0, w1, ... with a bit for each shingle."""
+    word, bit = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(MARKS - 1)), F.expr("shiftleft(1L, cast(x & 63 AS int))")
+    marks = [F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0)).alias(f"w{w}") for w in range(MARKS)]
+    return sets.select("id", F.explode("s").alias("x")).groupBy("id").agg(F.count("*").alias("size"), *marks)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of similar lines."""
-    sets = texts.select("id", F.array_distinct(F.transform(shingles_of(F.col("line")), lambda s: F.xxhash64(s))).alias("s"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= LEAST * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def _could_be(x: DataFrame, y: DataFrame, differ: Column) -> DataFrame:
-    """Pairs (a, b) of a bucket that may be similar. Lines differ in as many shingles, at least, as in bits; at a similarity
-    of 0.8 that is a ninth of both lines' shingles at most, so no similar pair is missed."""
-    bits = sum((F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(4)), F.lit(0))
+    """Pairs (a, b) of a bucket that may be similar. Lines differ in as many shingles, at least, as in bits; at the least
+    similarity that is a ninth of both lines' shingles at most, so no similar pair is missed."""
+    bits = sum((F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(MARKS)), F.lit(0))
     near = bits <= (F.col("x.size") + F.col("y.size")) * (1 - LEAST) / (1 + LEAST) + 1e-6
     return x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & differ & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
@@ -81,30 +91,30 @@ def line_components(lines: DataFrame) -> DataFrame:
     banded = written(_banded(lines), "line-bands")
     keyed = banded.select(F.explode("bands").alias("key"), "id").repartition("key")
     shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    members = written(keyed.join(shared, "key"), "line-buckets")
+    members = written(keyed.join(shared.hint("shuffle_hash"), "key"), "line-buckets")
     ids = members.select("id").distinct()
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
     texts = lines.where("line <> ''").select("line", F.xxhash64("line").alias("id")).join(ids, "id", "left_semi").distinct()
-    texts = written(texts, "line-texts")
-    ends = members.select("id", F.explode(F.array("least", "most")).alias("end")).where("id <> end")
+    sets = written(_sets(texts), "line-sets")
+    marks = written(_marks(sets), "line-marks")
+    mixed_up = F.struct(F.xxhash64("id").alias("h"), "id")
+    others = members.groupBy("key").agg(F.min(mixed_up).alias("lo"), F.max(mixed_up).alias("hi")).select("key", "lo", "hi")
+    ends = members.join(others, "key").select("id", F.explode(F.array("least", "most", "lo.id", "hi.id")).alias("end")).where("id <> end")
     tried = written(ends.select(F.greatest("id", "end").alias("a"), F.least("id", "end").alias("b")).distinct(), "line-pairs")
-    links = written(_similar(tried, texts), "line-links")
+    links = written(_similar(tried, sets), "line-links")
     while True:
         roots = components(links)
         rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-        of_mixed = written(rooted.join(mixed, "key").join(banded.drop("bands"), "id"), "line-mixed")
+        of_mixed = written(rooted.join(mixed, "key").join(marks, "id"), "line-mixed")
         small, large = of_mixed.where(F.col("n") <= SMALL), of_mixed.where(F.col("n") > SMALL)
         heads = large.join(large.groupBy("key", "root").agg(F.min("id").alias("id")), ["key", "root", "id"])
         pairs = _could_be(small, small, F.col("x.root") < F.col("y.root")).union(_could_be(large, heads, F.col("x.root") != F.col("y.root")))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "line-pairs")
-        if not pairs.count():
-            return roots
-        more = written(_similar(pairs, texts), "line-links")
-        if not more.count():
+        pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-pairs")
+        more = written(_similar(pairs, sets), "line-links")
+        if more.isEmpty():
             return roots
-        tried, links = tried.union(pairs), links.union(more)
+        links = links.union(more)
 
 
 def marked_lines(docs: DataFrame) -> DataFrame:
@@ -114,8 +124,8 @@ def marked_lines(docs: DataFrame) -> DataFrame:
     roots = line_components(lines.select("line"))
     rooted = places.where(F.col("id").isNotNull()).join(roots.withColumnRenamed("node", "id"), "id", "left").select("_row", "doc_id", "at", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "_row", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("root", F.col("f._row").alias("_first_row"), F.col("f.at").alias("_first_at"))
-    gone = rooted.join(first, "root").where("_row <> _first_row OR at <> _first_at").select("_row", "at", F.lit(True).alias("removed"))
-    return places.join(gone, ["_row", "at"], "left").select("_row", "doc_id", "at", F.coalesce("removed", F.lit(False)).alias("removed"))
+    marked = rooted.join(first, "root", "left").select("_row", "doc_id", "at", F.expr("_first_row IS NOT NULL AND (_row <> _first_row OR at <> _first_at)").alias("removed"))
+    return marked.union(places.where(F.col("id").isNull()).select("_row", "doc_id", "at", F.lit(False)))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
