@@ -185,7 +185,8 @@ def index_knn_keep_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over a tenth of the points, one cluster a query: queries without candidates stay."""
     points = points_of(spark, sf_dir)
     index, n = _index(points), points.count()
-    return index_knn(assign(points.where(F.col("point_id") < n // 10), index, 1), routes_of(queries_of(points), index, 1), K, True)
+    found = index_knn(assign(points.where(F.col("point_id") < n // 10), index, 1), routes_of(queries_of(points), index, 1), K, True)
+    return found.select("query_id", F.coalesce("point_id", F.lit(-1)).alias("point_id"), F.coalesce("dist", F.lit(-1.0)).alias("dist"), F.coalesce("rank", F.lit(0)).alias("rank"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,9 +222,10 @@ def quantize_u8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/embeddings.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return queries_of(rows.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("descriptor")))
+    """The queries as files of a folder, two files a micro-batch."""
+    path, queries = new_path(spark, "stream-queries"), queries_of(points_of(spark, sf_dir))
+    queries.repartition(4, "query_id").write.parquet(path)
+    return spark.readStream.schema(queries.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 def stream_exact_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,7 +380,7 @@ ORACLE_SQL: dict[str, str] = {
     "index_knn_leaf_scan": _PRUNED + _RESULT,
     **dict.fromkeys(("index_knn_greedy", "stream_index_knn"), _GREEDY_FOUND),
     "index_knn_redundant_distinct": f"WITH {_tree(2)}, {_greedy('a', 'p', 3, 2)}, {_leaf_routes()}, {_search('a', 'r')}" + _RESULT,
-    "index_knn_keep_empty": f"WITH {_tree(2)}, {_TENTH}, {_greedy('a', 't', 1, 2)}, {_leaf_routes(1)}, {_search('a', 'r')} SELECT q.id AS query_id, point_id, dist, CAST(rank AS INT) AS rank FROM q LEFT JOIN found ON query_id = q.id",
+    "index_knn_keep_empty": f"WITH {_tree(2)}, {_TENTH}, {_greedy('a', 't', 1, 2)}, {_leaf_routes(1)}, {_search('a', 'r')} SELECT q.id AS query_id, coalesce(point_id, -1) AS point_id, coalesce(dist, -1e0) AS dist, CAST(coalesce(rank, 0) AS INT) AS rank FROM q LEFT JOIN found ON query_id = q.id",
     "hit_at_k": _SCORED + " SELECT query_id, CAST(i AS INT) AS i, hit FROM hit",
     "recall_at_k": _SCORED + " SELECT query_id, CAST(i AS INT) AS i, recall FROM rec",
     "score_line": _SCORED + f" SELECT CAST(h.query_id AS VARCHAR) || ';0;' || h.s || ';' || c.s AS value FROM ({_LINE.format(t='hit', v='hit')}) h JOIN ({_LINE.format(t='rec', v='recall')}) c ON c.query_id = h.query_id",
