@@ -14,6 +14,7 @@ def model(seed=0, labels=("a", "b", "c")):
     m.of_feature[:] = rng.normal(size=m.of_feature.shape)
     m.of_word[:] = rng.normal(size=m.of_word.shape)
     m.step[:] = rng.normal(size=m.step.shape)
+    m.of_feature[0] = m.of_word[0] = 0  # what no feature weighs
     return m
 
 

@@ -14,7 +14,7 @@ def test_stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         after = corpus_pipeline.written(stage(spark, before, SF), "test")
         if name == "language ID":
-            gone = {r["doc_id"] for r in langid.identify(before).where("lang_pred = 'und' or score < 0.35").collect()}
+            gone = {r["doc_id"] for r in langid.identify(before).where("lang_pred = 'und' or score < 0.25").collect()}
             assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()} - gone
         if name == "near-dedup":
             assert sorted(r["doc_id"] for r in after.collect()) == sorted({r["class_id"] for r in neardup.near_duplicates(before).collect()})

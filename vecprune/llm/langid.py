@@ -318,7 +318,7 @@ def crc_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """``docs`` without the documents whose language can't be told: ``und``, or a score under ``least``. All columns stay."""
     model = fit(sample(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")))
 

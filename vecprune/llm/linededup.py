@@ -51,9 +51,8 @@ def _seed(i: int) -> int:
 
 
 def _banded(lines: DataFrame) -> DataFrame:
-    """(id, bands) of every distinct line that isn't blank."""
-    distinct = lines.where("line <> ''").select(F.xxhash64("line").alias("id"), "line").groupBy("id").agg(F.first("line").alias("line"))
-    each = distinct.select("id", F.explode(shingles_of(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("s0"))
+    """(id, bands) of every distinct line. Copies of a line meet as one row of minima a task, not as texts."""
+    each = lines.select("id", F.explode(shingles_of(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("s0"))
     each = each.select("id", "s0", *[F.xxhash64("s0", F.lit(j)).alias(f"s{j}") for j in (1, 2, 3)])
     signed = each.groupBy("id").agg(*[F.min(F.col(f"s{i % 4}").bitwiseXOR(F.lit(_seed(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)])
     return signed.select("id", F.array(*[F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
@@ -87,14 +86,14 @@ def _could_be(x: DataFrame, y: DataFrame, differ: Column) -> DataFrame:
 
 
 def line_components(lines: DataFrame) -> DataFrame:
-    """(node, root) of the distinct lines, by hash, that have a similar one. ``lines``: line, trimmed."""
+    """(node, root) of the distinct lines, by hash, that have a similar one. ``lines``: id and line of lines that aren't blank."""
     banded = written(_banded(lines), "line-bands")
     keyed = banded.select(F.explode("bands").alias("key"), "id").repartition("key")
     shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     members = written(keyed.join(shared.hint("shuffle_hash"), "key"), "line-buckets")
     ids = members.select("id").distinct()
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    texts = lines.where("line <> ''").select("line", F.xxhash64("line").alias("id")).join(ids, "id", "left_semi").distinct()
+    texts = lines.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
     sets = written(_sets(texts), "line-sets")
     marks = written(_marks(sets), "line-marks")
     mixed_up = F.struct(F.xxhash64("id").alias("h"), "id")
@@ -119,10 +118,12 @@ def line_components(lines: DataFrame) -> DataFrame:
 
 def marked_lines(docs: DataFrame) -> DataFrame:
     """_row, doc_id, at, removed for every line of every document row."""
-    lines = _lines(docs)
-    places = written(lines.select("_row", "doc_id", "at", F.when(F.col("line") != "", F.xxhash64("line")).alias("id")), "line-places")
-    roots = line_components(lines.select("line"))
-    rooted = places.where(F.col("id").isNotNull()).join(roots.withColumnRenamed("node", "id"), "id", "left").select("_row", "doc_id", "at", F.coalesce("root", "id").alias("root"))
+    lines = _lines(docs).withColumn("id", F.when(F.col("line") != "", F.xxhash64("line")))
+    lines = written(lines, "lines")
+    places = lines.select("_row", "doc_id", "at", "id")
+    roots = line_components(lines.where(F.col("id").isNotNull()).select("id", "line")).withColumnRenamed("node", "id")
+    roots = F.broadcast(roots) if roots.count() <= MAX_BROADCAST_IDS else roots
+    rooted = places.where(F.col("id").isNotNull()).join(roots, "id", "left").select("_row", "doc_id", "at", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "_row", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("root", F.col("f._row").alias("_first_row"), F.col("f.at").alias("_first_at"))
     marked = rooted.join(first, "root", "left").select("_row", "doc_id", "at", F.expr("_first_row IS NOT NULL AND (_row <> _first_row OR at <> _first_at)").alias("removed"))
     return marked.union(places.where(F.col("id").isNull()).select("_row", "doc_id", "at", F.lit(False)))

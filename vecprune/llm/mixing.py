@@ -94,8 +94,8 @@ def selected(docs: DataFrame, weights: dict = WEIGHTS, total: int | None = None,
     plan = [(*p, b // t if t else epochs, b % t if t else 0) for p, b in budget.items() for t in [tokens[p]]]
     table = spark.createDataFrame(plan or [("", "", "", 0, 0)], ", ".join(f"{n} string" for n in names) + ", _whole long, _rest long")
     rows = keyed.join(F.broadcast(table), names)
-    h = F.xxhash64(F.lit(seed), F.col("_whole"), F.col("_id"))
-    rows = rows.withColumn("_h", h).withColumn("_slice", F.shiftrightunsigned("_h", 64 - bits).cast("int") if bits else F.lit(0))
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_whole"), F.col("_id")), 1)
+    rows = rows.withColumn("_h", h).withColumn("_slice", F.shiftright("_h", 63 - bits).cast("int"))
     at = [*names, "_slice"]
     before = F.coalesce(F.sum("_t").over(Window.partitionBy(*names).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slices = rows.where("_rest > 0").groupBy(*at, "_rest").agg(F.sum("_tokens").alias("_t")).withColumn("_before", before)

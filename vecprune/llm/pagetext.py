@@ -136,7 +136,8 @@ def text_nodes(html: str) -> list[Node]:
 
 
 def path_scores(nodes: list[Node], spread: int = 1) -> dict[str, float]:
-    """Fused tag-path ratio of every path: geometric mean of the smoothed ratios of text length and of punctuation.
+    """Fused tag-path ratio of every path: geometric mean of the smoothed ratios of text length and of punctuation,
+    lowered by the share of text in links.
 
     Both are on a log scale, so that one huge node doesn't put every heading below the threshold.
     """
@@ -149,13 +150,14 @@ def path_scores(nodes: list[Node], spread: int = 1) -> dict[str, float]:
         s[2] += 1
         s[3] += length if n.link else 0
     paths = list(stats)
-    length = [log1p(s[0] / s[2]) * (1 - s[3] / s[0]) for s in stats.values()]
-    marks = [log1p((s[1] + 0.5) / s[2]) * (1 - s[3] / s[0]) for s in stats.values()]
+    length = [log1p(s[0] / s[2]) for s in stats.values()]
+    marks = [log1p((s[1] + 0.5) / s[2]) for s in stats.values()]
+    plain = [1 - 0.9 * s[3] / s[0] for s in stats.values()]
 
     def smooth(x: list[float]) -> list[float]:
         return [sum(w * x[j] for j, w in around) / sum(w for _, w in around) for around in ([(j, 2.0 ** -abs(i - j)) for j in range(max(0, i - spread), min(len(x), i + spread + 1))] for i in range(len(x)))]
 
-    fused = [(a * b) ** 0.5 for a, b in zip(smooth(length), smooth(marks))]
+    fused = [(a * b) ** 0.5 * c for a, b, c in zip(smooth(length), smooth(marks), plain)]
     return dict(zip(paths, fused))
 
 

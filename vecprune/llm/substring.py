@@ -288,7 +288,7 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             order = sorted(zip(batch.column("doc_id").to_pylist(), batch.column("_row").to_pylist(), range(batch.num_rows)))
             for doc_id, row, i in order:
                 words = split_words(batch.column("text")[i].as_py())
-                for run in batch.column("runs")[i].as_py():
+                for run in sorted(batch.column("runs")[i].as_py(), key=lambda r: r["start"]):
                     s, e = run["start"], run["stop"]
                     if not run["hot"]:
                         rows.append((run["anchor"], doc_id, row, s, e, b" ".join(words[s:e])))
