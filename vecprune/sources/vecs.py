@@ -51,6 +51,7 @@ class Range(InputPartition):
     start: int  # record in the file
     stop: int
     first: int  # id of the file's first record
+    dim: int
 
 
 @dataclass
@@ -95,7 +96,7 @@ class _Reading:
 
     def ranges(self, start: int, stop: int) -> list[Range]:
         """Ranges over the records with ids from start to stop."""
-        files, self.dim = layout(self.path, self.kind, self.dim)
+        files, dim = layout(self.path, self.kind, self.dim)
         splits = max(1, int(self.options.get("splits", 8)))
         cuts = [start + (stop - start) * i // splits for i in range(splits + 1)]
         out = []
@@ -103,8 +104,8 @@ class _Reading:
             for f in files:
                 lo, hi = max(a, f.first), min(b, f.first + f.records)
                 if lo < hi:
-                    out.append(Range(f.path, lo - f.first, hi - f.first, f.first))
-        return out or [Range("", 0, 0, 0)]
+                    out.append(Range(f.path, lo - f.first, hi - f.first, f.first, dim))
+        return out or [Range("", 0, 0, 0, 0)]
 
     def count(self) -> int:
         files, _ = layout(self.path, self.kind, self.dim)
@@ -114,19 +115,19 @@ class _Reading:
         if part.start >= part.stop:
             return
         fs, _ = _open(self.path)
-        record = np.dtype([("dim", "<i4"), ("v", COMPONENT[self.kind], (self.dim,))])
+        record = np.dtype([("dim", "<i4"), ("v", COMPONENT[self.kind], (part.dim,))])
         step = max(1, BATCH_BYTES // record.itemsize)
         with fs.open_input_file(part.path) as stream:
             for at in range(part.start, part.stop, step):
                 n = min(step, part.stop - at)
                 stream.seek(at * record.itemsize)
                 rows = np.frombuffer(stream.read(n * record.itemsize), dtype=record)
-                if (rows["dim"] != self.dim).any():
-                    raise ValueError(f"{part.path}: a record of another dimension than {self.dim}")
+                if (rows["dim"] != part.dim).any():
+                    raise ValueError(f"{part.path}: a record of another dimension than {part.dim}")
                 ids = np.arange(part.first + at, part.first + at + n)
                 kind = pa.int32() if self.kind == "ivecs" else pa.float32()
                 flat = pa.array(np.ascontiguousarray(rows["v"]).reshape(-1).astype(kind.to_pandas_dtype()), kind)
-                vectors = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * self.dim, flat)
+                vectors = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * part.dim, flat)
                 names = ["query_id", "neighbours"] if self.kind == "ivecs" else ["point_id", "descriptor"]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32() if self.kind == "ivecs" else pa.int64()), vectors], names=names)
 
