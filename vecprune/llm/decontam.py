@@ -89,8 +89,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated documents; rows of one doc_id and text are judged alike."""
     bad = decontaminate_keys(docs, benchmark, **options)
-    key = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return key.join(bad, "_key", "left_anti").drop("_key")
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("_key"))
+    return keyed.join(bad, "_key", "left_anti").select("doc.*")
 
 
 def decontaminate_keys(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

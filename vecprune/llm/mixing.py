@@ -82,7 +82,7 @@ def budgets(leaves: dict[tuple[str, ...], int], weights: dict[tuple[str, ...], f
 
 
 def selected(docs: DataFrame, weights: dict = WEIGHTS, total: int | None = None, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, slice_rows: int = 2000) -> DataFrame:
-    """``docs`` (with domain, lang, source, tokens and id) with _epoch and _taken, a row for every epoch that takes some of it."""
+    """``docs`` (_id, _domain, lang, source, _tokens and others) with _epoch and _taken, a row for every epoch that takes some of it."""
     spark = docs.sparkSession
     names = [f"_leaf{i}" for i in range(len(LEVELS))]
     leaf = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(("_domain", "lang", "source"), names)]
@@ -119,5 +119,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as mixed: a row for each epoch that takes a document, whole; all columns stay."""
-    wide = docs.select("*", F.col("doc_id").alias("_id"), domain_of(F.col("source")).alias("_domain"), tokens_of(F.col("text")).alias("_tokens"))
-    return selected(wide, **options).select(*docs.columns)
+    wide = docs.select(F.struct("*").alias("_doc"), "lang", "source", F.col("doc_id").alias("_id"), domain_of(F.col("source")).alias("_domain"), tokens_of(F.col("text")).alias("_tokens"))
+    return selected(wide, **options).select("_doc.*")

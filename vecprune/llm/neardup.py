@@ -256,6 +256,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, all columns kept."""
-    chosen = classes(docs).where("id = class_id").select(F.col("id").alias("_id"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    return keyed.join(chosen, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    chosen = classes(docs).where("id = class_id").select("id")
+    keyed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"))
+    return keyed.join(chosen, "id", "left_semi").dropDuplicates(["id"]).select("doc.*")

@@ -9,7 +9,8 @@ What the driver handles is one count per cell, whatever the size of the input. R
 over (cell, sub-cell), and there are enough sub-cells for ``rows_per_group`` rows in each.
 
 Defined cases: null keys share one cell; null texts have size 1 and no checksum; repeated rows are ranked in any order
-and get different slots; an empty table gives an empty result; other columns are kept as they are.
+and get different slots; an empty table gives an empty result; other columns are kept as they are, but columns named
+``shard`` or ``slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -86,7 +87,8 @@ def assign_shards(docs: DataFrame, key: Column, tie: list[Column] | None = None,
     segments = place(cells, n_shards, vnodes, seed)  # at most one a cell and one a full shard and round
     lookup = spark.createDataFrame(segments or [(0, 0, 0, 0, 0)], "_cell int, _lo long, _hi long, shard int, _base long")
     placed = ranked.join(F.broadcast(lookup), "_cell").where("_rank >= _lo AND _rank < _hi")
-    return placed.select("_row.*", "shard", (F.col("_base") + F.col("_rank") - F.col("_lo")).alias("slot"))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return placed.select(*kept, "shard", (F.col("_base") + F.col("_rank") - F.col("_lo")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, **options) -> DataFrame:
