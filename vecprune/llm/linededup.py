@@ -1,13 +1,13 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A document's lines, trimmed, are reduced to distinct lines first. A line's shingles are the up to ``SHINGLE`` characters
-from every word's start; a line with fewer than one word in 12 characters takes those from every character. A
-signature is the least of the shingles' hashes under ``BANDS * ROWS`` permutations (exclusive-or with a seed, over four
-hash functions), all made in one aggregation of the exploded shingles. Bands of ``ROWS`` make buckets. Every line of a
-bucket is compared with four of the bucket's lines (the first and last by hash, and by a hash of that), by exact Jaccard
-similarity; distributed union-find makes components. Buckets that then hold several components are compared again: all pairs of different components in buckets of
-up to ``SMALL`` lines, every line with the least line of every other component in larger ones, until nothing changes. A
-bound from bit marks of the shingles, inside the join, drops nearly all pairs there that can't be similar.
+A trimmed line's shingles are the up to ``SHINGLE`` characters from every word's start; a line with fewer than one word in
+12 characters takes those from every character. A signature is the least of the shingles' hashes under ``BANDS * ROWS``
+permutations (a rotation by 0 to 48 bits and an exclusive-or with a seed), all made in one aggregation of the exploded
+shingles. Bands of ``ROWS`` make buckets. Every line of a bucket is compared with four of the bucket's lines (the first and
+last by hash, and by a hash of that), by exact Jaccard similarity; distributed union-find makes components. Buckets that
+then hold several components are compared again: all pairs of different components in buckets of up to ``SMALL`` lines,
+every line with the least line of every other component in larger ones. A bound from bit marks of the shingles, inside the
+join, drops nearly all pairs there that can't be similar.
 
 Of every component, the first line by (doc_id, row, line number) stays and all others go. Blank lines always stay.
 
@@ -53,7 +53,7 @@ def _seed(i: int) -> int:
 def _banded(lines: DataFrame) -> DataFrame:
     """(id, bands) of every distinct line. Copies of a line meet as one row of minima a task, not as texts."""
     each = lines.select("id", F.explode(shingles_of(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("s0"))
-    each = each.select("id", "s0", *[F.xxhash64("s0", F.lit(j)).alias(f"s{j}") for j in (1, 2, 3)])
+    each = each.select("id", "s0", *[F.expr(f"shiftleft(s0, {16 * j}) | shiftrightunsigned(s0, {64 - 16 * j})").alias(f"s{j}") for j in (1, 2, 3)])
     signed = each.groupBy("id").agg(*[F.min(F.col(f"s{i % 4}").bitwiseXOR(F.lit(_seed(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)])
     return signed.select("id", F.array(*[F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
@@ -91,7 +91,7 @@ def line_components(lines: DataFrame) -> DataFrame:
     keyed = banded.select(F.explode("bands").alias("key"), "id").repartition("key")
     shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     members = written(keyed.join(shared.hint("shuffle_hash"), "key"), "line-buckets")
-    ids = members.select("id").distinct()
+    ids = written(members.select("id").distinct(), "line-ids")
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
     texts = lines.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
     sets = written(_sets(texts), "line-sets")
@@ -101,19 +101,19 @@ def line_components(lines: DataFrame) -> DataFrame:
     ends = members.join(others, "key").select("id", F.explode(F.array("least", "most", "lo.id", "hi.id")).alias("end")).where("id <> end")
     tried = written(ends.select(F.greatest("id", "end").alias("a"), F.least("id", "end").alias("b")).distinct(), "line-pairs")
     links = written(_similar(tried, sets), "line-links")
-    while True:
-        roots = components(links)
-        rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-        of_mixed = written(rooted.join(mixed, "key").join(marks, "id"), "line-mixed")
-        small, large = of_mixed.where(F.col("n") <= SMALL), of_mixed.where(F.col("n") > SMALL)
-        heads = large.join(large.groupBy("key", "root").agg(F.min("id").alias("id")), ["key", "root", "id"])
-        pairs = _could_be(small, small, F.col("x.root") < F.col("y.root")).union(_could_be(large, heads, F.col("x.root") != F.col("y.root")))
-        pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-pairs")
-        more = written(_similar(pairs, sets), "line-links")
-        if more.isEmpty():
-            return roots
-        links = links.union(more)
+    roots = components(links)
+    rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    of_mixed = written(rooted.join(mixed, "key").join(marks, "id"), "line-mixed")
+    small, large = of_mixed.where(F.col("n") <= SMALL), of_mixed.where(F.col("n") > SMALL)
+    heads = large.join(large.groupBy("key", "root").agg(F.min("id").alias("id")), ["key", "root", "id"])
+    pairs = _could_be(small, small, F.col("x.root") < F.col("y.root")).union(_could_be(large, heads, F.col("x.root") != F.col("y.root")))
+    pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-pairs")
+    more = written(_similar(pairs, sets), "line-links")
+    if more.isEmpty():
+        return roots
+    # Once is enough: the first line of a merged component was the first of one of its parts, and has been compared.
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def marked_lines(docs: DataFrame) -> DataFrame:
