@@ -166,7 +166,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 11, epochs: int = 4, length: in
 class Tagger:
     """Language probabilities of documents, with a bounded store of words' emissions."""
 
-    CHUNK, STORE = 64, 300_000
+    CHUNK, STORE = 64, 200_000
 
     def __init__(self, model: Model):
         self.model, self.ids, self.table = model, {}, np.zeros((0, len(model.labels)), dtype=np.float32)
@@ -273,7 +273,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         tagger = Tagger(model) if model else None
         for batch in batches:
             langs, scores, sizes = [], [], []
-            for part in _parts(batch.column("text"), 1_500_000):
+            for part in _parts(batch.column("text"), 1_000_000):
                 words = [words_of(t) for t in part]
                 sizes += map(len, words)
                 if not tagger:
@@ -326,7 +326,7 @@ def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
         tagger = Tagger(model) if model else None
         for batch in batches:
             keep: list[bool] = []
-            for part in _parts(batch.column("text"), 1_500_000):
+            for part in _parts(batch.column("text"), 1_000_000):
                 words = [words_of(t) for t in part]
                 total = tagger.sums(words) if tagger else np.zeros((len(words), 1))
                 keep += [bool(w) and total[r].max() >= least * len(w) for r, w in enumerate(words)]

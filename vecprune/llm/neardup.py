@@ -50,7 +50,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Hashes of words; forgets them all when there are too many."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:
@@ -147,7 +147,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             at, bands = 0, []
             while at < len(texts):
                 part, size = [], 0
-                while at < len(texts) and size < 4_000_000:
+                while at < len(texts) and size < 2_000_000:
                     part.append(texts[at].as_py())
                     size += len(part[-1] or "")
                     at += 1
