@@ -64,6 +64,25 @@ def test_large_buckets(spark, monkeypatch):
     assert sorted(map(tuple, linededup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect())) == brute(docs)
 
 
+def every_shingle(line):
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_brute_force_of_every_position(spark, monkeypatch, seed):
+    monkeypatch.setitem(globals(), "shingles", every_shingle)
+    docs = texts(seed)
+    assert sorted(map(tuple, linededup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect())) == brute(docs)
+
+
+def test_ends_of_long_words_count(spark):
+    apart = ["order 1234567890 shipped", "order 1234567899 shipped", "the number is 5550000123456 today", "the number is 5550000987654 today"]
+    near = ["a plain line of common words, and the last of them is longer: incomprehensibly", "a plain line of common words, and the last of them is longer: incomprehensible"]
+    wide = ["\U0001f600" * 7 + "plain words after seven signs of four bytes", "\U0001f600" * 7 + "plain words after seven signs of four bytes!"]
+    docs = list(enumerate(apart + near + wide))
+    assert sorted(r["doc_id"] for r in linededup.dedup_lines(spark.createDataFrame(docs, DOCS)).where("n_removed > 0").collect()) == [5, 7]
+
+
 def test_cases(spark):
     cjk = "".join(chr(0x4E00 + i) for i in range(60))
     rows = [(1, None), (2, ""), (3, "a b c\n\na b c\r"), (4, "x" * 100_000), (5, cjk), (6, cjk[:59] + "!"), (7, "only\there"), (7, "only\there"), (8, " ".join(f"w{i}" for i in range(20_000)))]

@@ -1,13 +1,13 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A trimmed line's shingles are the up to ``SHINGLE`` characters from every word's start; a line with fewer than one word in
-12 characters takes those from every character. A signature is the least of the shingles' hashes under ``BANDS * ROWS``
+A trimmed line's shingles are the ``SHINGLE`` characters from every position, in banding and in the exact comparison; a
+shorter line is its own only shingle. They're cut from UTF-32, where a position is found at once. A signature is the least of the shingles' hashes under ``BANDS * ROWS``
 permutations (a rotation by 0 to 48 bits and an exclusive-or with a seed), all made in one aggregation of the exploded
 shingles. Bands of ``ROWS`` make buckets. Every line of a bucket is compared with four of the bucket's lines (the first and
-last by hash, and by a hash of that), by exact Jaccard similarity; distributed union-find makes components. Buckets that
+last by hash, and by a hash of that), by exact Jaccard similarity of the shingles' hashes; distributed union-find makes components. Buckets that
 then hold several components are compared again: all pairs of different components in buckets of up to ``SMALL`` lines,
-every line with the least line of every other component in larger ones. A bound from bit marks of the shingles, inside the
-join, drops nearly all pairs there that can't be similar.
+every line with the least line of every other component in larger ones. A bound from bit marks of the shingles
+drops nearly all pairs that can't be similar before their shingles are compared.
 
 Of every component, the first line by (doc_id, row, line number) stays and all others go. Blank lines always stay.
 
@@ -18,6 +18,8 @@ ignored. Lines are told apart by a 64-bit hash: among n different lines, some n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +27,28 @@ from .common import written
 from .components import components
 
 SHINGLE, BANDS, ROWS, LEAST, SMALL, MARKS = 8, 10, 3, 0.8, 64, 16
+WIDE = 4 * SHINGLE
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def shingles_of(line: Column) -> Column:
-    """The shingles of a trimmed line, as often as they occur. Every match of the first pattern takes a whole word."""
-    starts = F.regexp_extract_all(line, F.lit(r"(?s)(?=(\S.{0,%d}))\S++\s*+" % (SHINGLE - 1)), F.lit(1))
-    every = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}))" % SHINGLE), F.lit(1))
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.when((spaces + 1) * 12 < F.length(line), every).otherwise(starts)
+def _encoded(line: Column) -> Column:
+    """A line in UTF-32, ``WIDE`` bytes a shingle."""
+    return F.encode(line, "UTF-32")
+
+
+def _places(encoded: Column) -> Column:
+    """Where the shingles of an encoded line start, from 0."""
+    return F.sequence(F.lit(0), F.greatest(F.length(encoded) - WIDE, F.lit(0)), F.lit(4))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it's used and wherever the optimizer moves it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _hashes(line: Column) -> Column:
+    """The distinct shingles of a line, by 64-bit hashes."""
+    return _once(_encoded(line), lambda e: F.array_distinct(F.transform(_places(e), lambda i: F.xxhash64(F.substring(e, i + 1, F.lit(WIDE))))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -52,37 +67,45 @@ def _seed(i: int) -> int:
 
 def _banded(lines: DataFrame) -> DataFrame:
     """(id, bands) of every distinct line. Copies of a line meet as one row of minima a task, not as texts."""
-    each = lines.select("id", F.explode(shingles_of(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("s0"))
+    wide = lines.select("id", _encoded(F.col("line")).alias("e"))
+    each = wide.select("id", "e", F.explode(_places(F.col("e"))).alias("i")).select("id", F.xxhash64(F.substring("e", F.col("i") + 1, F.lit(WIDE))).alias("s0"))
     each = each.select("id", "s0", *[F.expr(f"shiftleft(s0, {16 * j}) | shiftrightunsigned(s0, {64 - 16 * j})").alias(f"s{j}") for j in (1, 2, 3)])
     signed = each.groupBy("id").agg(*[F.min(F.col(f"s{i % 4}").bitwiseXOR(F.lit(_seed(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)])
     return signed.select("id", F.array(*[F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """id, s (distinct shingles, by 64-bit hashes) of every line."""
-    return texts.select("id", F.array_distinct(F.transform(shingles_of(F.col("line")), lambda s: F.xxhash64(s))).alias("s"))
-
-
-def _marks(sets: DataFrame) -> DataFrame:
-    """id, size (of s) and words w0, w1, ... with a bit for each shingle."""
+def _marks(texts: DataFrame) -> DataFrame:
+    """id, size (distinct shingles) and words w0, w1, ... with a bit for each shingle."""
     word, bit = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(MARKS - 1)), F.expr("shiftleft(1L, cast(x & 63 AS int))")
     marks = [F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0)).alias(f"w{w}") for w in range(MARKS)]
-    return sets.select("id", F.explode("s").alias("x")).groupBy("id").agg(F.count("*").alias("size"), *marks)
+    return texts.select("id", F.explode(_hashes(F.col("line"))).alias("x")).groupBy("id").agg(F.count("*").alias("size"), *marks)
+
+
+def _near() -> Column:
+    """Whether x and y may be similar. Lines differ in as many shingles, at least, as in bits; at the least similarity that
+    is a ninth of both lines' shingles at most, and the sizes differ by a fifth at most, so no similar pair is missed."""
+    sizes = F.least("x.size", "y.size") + 1e-6 >= F.greatest("x.size", "y.size") * LEAST
+    bits = sum((F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(MARKS)), F.lit(0))
+    return sizes & (bits <= (F.col("x.size") + F.col("y.size")) * (1 - LEAST) / (1 + LEAST) + 1e-6)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines that may be similar."""
+    one = pairs.alias("p").join(marks.alias("x"), F.col("p.a") == F.col("x.id"))
+    return one.join(marks.alias("y"), F.col("p.b") == F.col("y.id")).where(_near()).select("p.a", "p.b")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of similar lines."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= LEAST * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    sets = F.struct(_hashes(F.col("la")).alias("a"), _hashes(F.col("lb")).alias("b"))
+    alike = _once(sets, lambda s: _once(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n >= LEAST * (F.size(s["a"]) + F.size(s["b"]) - n)))
+    return both.where(alike).select("a", "b")
 
 
 def _could_be(x: DataFrame, y: DataFrame, differ: Column) -> DataFrame:
-    """Pairs (a, b) of a bucket that may be similar. Lines differ in as many shingles, at least, as in bits; at the least
-    similarity that is a ninth of both lines' shingles at most, so no similar pair is missed."""
-    bits = sum((F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(MARKS)), F.lit(0))
-    near = bits <= (F.col("x.size") + F.col("y.size")) * (1 - LEAST) / (1 + LEAST) + 1e-6
-    return x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & differ & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    """Pairs (a, b) of a bucket that may be similar."""
+    return x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & differ & _near()).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def line_components(lines: DataFrame) -> DataFrame:
@@ -93,14 +116,13 @@ def line_components(lines: DataFrame) -> DataFrame:
     members = written(keyed.join(shared.hint("shuffle_hash"), "key"), "line-buckets")
     ids = written(members.select("id").distinct(), "line-ids")
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    texts = lines.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    sets = written(_sets(texts), "line-sets")
-    marks = written(_marks(sets), "line-marks")
+    texts = written(lines.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
+    marks = written(_marks(texts), "line-marks")
     mixed_up = F.struct(F.xxhash64("id").alias("h"), "id")
     others = members.groupBy("key").agg(F.min(mixed_up).alias("lo"), F.max(mixed_up).alias("hi")).select("key", "lo", "hi")
     ends = members.join(others, "key").select("id", F.explode(F.array("least", "most", "lo.id", "hi.id")).alias("end")).where("id <> end")
-    tried = written(ends.select(F.greatest("id", "end").alias("a"), F.least("id", "end").alias("b")).distinct(), "line-pairs")
-    links = written(_similar(tried, sets), "line-links")
+    tried = ends.select(F.greatest("id", "end").alias("a"), F.least("id", "end").alias("b")).distinct()
+    links = written(_similar(written(_possible(tried, marks), "line-pairs"), texts), "line-links")
     roots = components(links)
     rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
@@ -109,7 +131,7 @@ def line_components(lines: DataFrame) -> DataFrame:
     heads = large.join(large.groupBy("key", "root").agg(F.min("id").alias("id")), ["key", "root", "id"])
     pairs = _could_be(small, small, F.col("x.root") < F.col("y.root")).union(_could_be(large, heads, F.col("x.root") != F.col("y.root")))
     pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-pairs")
-    more = written(_similar(pairs, sets), "line-links")
+    more = written(_similar(pairs, texts), "line-links")
     if more.isEmpty():
         return roots
     # Once is enough: the first line of a merged component was the first of one of its parts, and has been compared.
