@@ -83,6 +83,15 @@ def test_ends_of_long_words_count(spark):
     assert sorted(r["doc_id"] for r in linededup.dedup_lines(spark.createDataFrame(docs, DOCS)).where("n_removed > 0").collect()) == [5, 7]
 
 
+def test_pairs_between_blocks(spark, monkeypatch):
+    """Every pair of different components of a bucket once, whatever the blocks, and not only pairs with a component's head."""
+    monkeypatch.setattr(linededup, "SMALL", 3)
+    marks = ", ".join(f"w{w} long" for w in range(linededup.MARKS))
+    rows = [(key, i, root, 20, 10, *[0] * linededup.MARKS) for key in (1, 2) for i in range(20) for root in [i % 4]]
+    pairs = [tuple(sorted(p)) for p in linededup._between(spark.createDataFrame(rows, f"key long, id long, root long, n long, size long, {marks}")).collect()]
+    assert sorted(pairs) == sorted(2 * [(i, j) for j in range(20) for i in range(j) if i % 4 != j % 4])
+
+
 def test_cases(spark):
     cjk = "".join(chr(0x4E00 + i) for i in range(60))
     rows = [(1, None), (2, ""), (3, "a b c\n\na b c\r"), (4, "x" * 100_000), (5, cjk), (6, cjk[:59] + "!"), (7, "only\there"), (7, "only\there"), (8, " ".join(f"w{i}" for i in range(20_000)))]

@@ -5,8 +5,8 @@ shorter line is its own only shingle. They're cut from UTF-32, where a position
 permutations (a rotation by 0 to 48 bits and an exclusive-or with a seed), all made in one aggregation of the exploded
 shingles. Bands of ``ROWS`` make buckets. Every line of a bucket is compared with four of the bucket's lines (the first and
 last by hash, and by a hash of that), by exact Jaccard similarity of the shingles' hashes; distributed union-find makes components. Buckets that
-then hold several components are compared again: all pairs of different components in buckets of up to ``SMALL`` lines,
-every line with the least line of every other component in larger ones. A bound from bit marks of the shingles
+then hold several components are compared again: all pairs of different components, in buckets of more than ``SMALL`` lines
+by salted blocks of about as many. A bound from bit marks of the shingles
 drops nearly all pairs that can't be similar before their shingles are compared.
 
 Of every component, the first line by (doc_id, row, line number) stays and all others go. Blank lines always stay.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-SHINGLE, BANDS, ROWS, LEAST, SMALL, MARKS = 8, 10, 3, 0.8, 64, 16
+SHINGLE, BANDS, ROWS, LEAST, SMALL, MARKS = 8, 10, 3, 0.8, 512, 16
 WIDE = 4 * SHINGLE
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -103,9 +103,16 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(alike).select("a", "b")
 
 
-def _could_be(x: DataFrame, y: DataFrame, differ: Column) -> DataFrame:
-    """Pairs (a, b) of a bucket that may be similar."""
-    return x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & differ & _near()).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+def _between(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components of a bucket that may be similar. ``members``: key, id, root, n (lines of the
+    bucket) and marks. Every pair of lines meets in one pair of blocks i <= j."""
+    blocks = F.ceil(F.col("n") / SMALL).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    x = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).alias("x")
+    y = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    differ = (F.col("x.root") < F.col("y.root")) | ((F.col("x.root") > F.col("y.root")) & (F.col("x.i") < F.col("x.j")))
+    return x.join(y, same & differ & _near()).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def line_components(lines: DataFrame) -> DataFrame:
@@ -127,14 +134,11 @@ def line_components(lines: DataFrame) -> DataFrame:
     rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
     of_mixed = written(rooted.join(mixed, "key").join(marks, "id"), "line-mixed")
-    small, large = of_mixed.where(F.col("n") <= SMALL), of_mixed.where(F.col("n") > SMALL)
-    heads = large.join(large.groupBy("key", "root").agg(F.min("id").alias("id")), ["key", "root", "id"])
-    pairs = _could_be(small, small, F.col("x.root") < F.col("y.root")).union(_could_be(large, heads, F.col("x.root") != F.col("y.root")))
-    pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-pairs")
+    pairs = written(_between(of_mixed).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-pairs")
     more = written(_similar(pairs, texts), "line-links")
     if more.isEmpty():
         return roots
-    # Once is enough: the first line of a merged component was the first of one of its parts, and has been compared.
+    # Once is enough: every pair of lines that share a bucket is now in one component or has been compared.
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
