@@ -82,3 +82,19 @@ def test_cases(spark):
     assert kept.columns == docs.columns and {200, 201, 202}.isdisjoint(r["doc_id"] for r in kept.collect())
     assert langid.identify(docs.where("doc_id < 0")).count() == 0
     assert {r["lang_pred"] for r in langid.identify(docs.where("lang is null")).collect()} == {"und"}
+
+
+def test_unidentifiable_text_is_dropped(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size=rng.integers(2, 10))) for _ in range(80)) for _ in range(5)]
+    odd = [*noise, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 \u0441\u0435\u0433\u043e\u0434\u043d\u044f " * 20]
+    added = spark.createDataFrame([(-1 - i, x, None) for i, x in enumerate(odd)], DOCS)
+    kept = {r["doc_id"] for r in langid.keep_identified(docs.union(added)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_even_scores_are_not_identified():
+    for k in (2, 4, 9):
+        m = langid.Model([f"l{i}" for i in range(k)], {})
+        assert langid.Tagger(m).identified([["abc", "def"]], 0.25) == [False]

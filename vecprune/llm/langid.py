@@ -9,6 +9,10 @@ Fitting: at most ``FIT_DOCS`` documents of each language, and ``FIT_CHARS`` char
 id. Segments of different documents are strung together, so that transitions are learned from text that switches.
 Everything else covers whole texts: chains are cut in chunks for speed, and the messages between chunks are exact.
 
+The language of a text can't be told if its best mean probability is hardly above an even share (``MARGIN``), or if too few
+of its words' letter 3-grams occur in the fit sample: fewer than ``LEAST_KNOWN`` of the median share of one half's documents
+in the other half.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if there's nothing to learn
 from; ties go to the language that sorts first; repeated documents each get their row; other columns are ignored.
 """
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 PIECE, BITS = 24, 17
 WORD = re.compile(r"[^\W\d_]{1,%d}" % PIECE)
 FIT_DOCS, FIT_CHARS, LEXICON = 500, 1500, 400
+MARGIN, LEAST_KNOWN = 0.1, 0.6
 UND = "und"
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
 
@@ -62,6 +67,22 @@ def features(words: list[str]) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def known_shares(words: list[str], seen: np.ndarray) -> np.ndarray:
+    """Per word, the share of its 3-grams that were seen; of all its features if it's shorter."""
+    slots = features(words)
+    three = slots[:, -max(1, max(map(len, words)) - 2) :]
+    n, n3 = (slots > 0).sum(axis=1), (three > 0).sum(axis=1)
+    return np.where(n3 > 0, seen[three].sum(axis=1) / np.maximum(n3, 1), seen[slots].sum(axis=1) / np.maximum(n, 1))
+
+
+def _seen(docs: list[list[str]]) -> np.ndarray:
+    out, words = np.zeros(1 << BITS, dtype=bool), sorted(set(chain.from_iterable(docs)))
+    for i in range(0, len(words), 20_000):
+        out[features(words[i : i + 20_000])] = True
+    out[0] = False
+    return out
+
+
 class Model:
     """Weights of the field. ``labels`` are sorted; ``lexicon`` maps a word to its row in ``of_word``."""
 
@@ -71,6 +92,7 @@ class Model:
         self.of_feature = np.zeros((1 << BITS, n), dtype=np.float32)
         self.of_word = np.zeros((len(lexicon) + 1, n), dtype=np.float32)
         self.step = np.zeros((n, n), dtype=np.float64)
+        self.seen, self.least_known = np.zeros(1 << BITS, dtype=bool), 0.0
 
     def emissions(self, words: list[str]) -> np.ndarray:
         rows = np.fromiter((self.lexicon.get(w, 0) for w in words), dtype=np.int64, count=len(words))
@@ -119,6 +141,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 11, epochs: int = 4, length: in
         for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon.setdefault(w, len(lexicon) + 1)
     model = Model(labels, lexicon)
+    halves = [[w for w, _ in rows[i::2]] for i in (0, 1)]
+    seen = [_seen(h) for h in halves]
+    model.seen = seen[0] | seen[1]
+    if halves[1]:
+        model.least_known = LEAST_KNOWN * float(np.median([known_shares(w, seen[1 - i]).mean() for i in (0, 1) for w in halves[i]]))
     pieces = []
     for w, y in rows:
         at = 0
@@ -170,17 +197,35 @@ class Tagger:
 
     def __init__(self, model: Model):
         self.model, self.ids, self.table = model, {}, np.zeros((0, len(model.labels)), dtype=np.float32)
+        self.shares = np.zeros(0, dtype=np.float32)
 
     def _rows(self, words: list[str]) -> np.ndarray:
+        """The place of every word in the store."""
         new = list({w for w in words if w not in self.ids})
         if len(self.ids) + len(new) > self.STORE:
-            self.ids, self.table, new = {}, self.table[:0], list(set(words))
+            self.ids, self.table, self.shares, new = {}, self.table[:0], self.shares[:0], list(set(words))
         if new:
             e = np.concatenate([self.model.emissions(new[i : i + 20_000]) for i in range(0, len(new), 20_000)])
             e = np.exp(e - e.max(axis=1, keepdims=True)).astype(np.float32)
             self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
             self.table = np.concatenate([self.table, e])
-        return self.table[np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))]
+            known = [known_shares(new[i : i + 20_000], self.model.seen) for i in range(0, len(new), 20_000)]
+            self.shares = np.concatenate([self.shares, *known]).astype(np.float32)
+        return np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def known(self, docs: list[list[str]]) -> np.ndarray:
+        """Per document, the mean share of its words' 3-grams that occur in the fit sample."""
+        rows = self._rows(list(chain.from_iterable(docs)))
+        shares = self.shares[rows].astype(np.float64)
+        sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
+        return np.bincount(np.repeat(np.arange(len(docs)), sizes), weights=shares, minlength=len(docs)) / np.maximum(sizes, 1)
+
+    def identified(self, docs: list[list[str]], least: float = 0.0) -> list[bool]:
+        """Whether each document's language can be told, at a score of ``least`` or more."""
+        k = len(self.model.labels)
+        least = max(least, 1 / k + MARGIN * (1 - 1 / k)) - 1e-6
+        total, known = self.sums(docs).max(axis=1), self.known(docs)
+        return [bool(w) and bool(total[r] >= least * len(w)) and bool(known[r] >= self.model.least_known) for r, w in enumerate(docs)]
 
     def sums(self, docs: list[list[str]]) -> np.ndarray:
         """Per document, the sum of its words' language probabilities. Chains are cut in chunks that go side by side."""
@@ -194,7 +239,8 @@ class Tagger:
         word_at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         chunk, at = np.repeat(first[:-1], lengths) + word_at // size, word_at % size
         e = np.ones((size, n, k))
-        e[at, chunk] = self._rows(list(chain.from_iterable(docs)))
+        rows = self._rows(list(chain.from_iterable(docs)))
+        e[at, chunk] = self.table[rows]
         full = np.zeros((size, n), dtype=bool)
         full[at, chunk] = True
         starts = np.zeros(n, dtype=bool)
@@ -319,7 +365,8 @@ def crc_held_out(doc_id: int) -> bool:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """``docs`` without the documents whose language can't be told: ``und``, or a score under ``least``. All columns stay."""
+    """``docs`` without the documents whose language can't be told: ``und``, a score under
+    ``least`` or hardly above an even share of the languages, or letters unlike those of the fit sample. All columns stay."""
     model = fit(sample(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,8 +375,7 @@ def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
             keep: list[bool] = []
             for part in _parts(batch.column("text"), 1_000_000):
                 words = [words_of(t) for t in part]
-                total = tagger.sums(words) if tagger else np.zeros((len(words), 1))
-                keep += [bool(w) and total[r].max() >= least * len(w) for r, w in enumerate(words)]
+                keep += tagger.identified(words, least) if tagger else [False] * len(words)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(kernel, docs.schema)
