@@ -70,3 +70,9 @@ def test_query_columns(spark):
     clean = {r["doc_id"]: r["text"] for r in secretscan.redact(docs).collect()}
     assert clean[3] == 'é [secret]"' and clean[1] is None and clean[5] == rows[5][1]
     assert secretscan.scan(docs.where("doc_id = 99")).count() == 0
+
+
+def test_placeholder_takes_only_its_piece():
+    key = "q7Rz2LmX9vTb4WcY8nKd3JfH6sGp5AeU1iOo"
+    assert all(secretscan.entropy_spans(x, []) for x in (f"/example/v1/{key}", key + "0" * 8 + key[::-1]))
+    assert not secretscan.entropy_spans(f"{key}EXAMPLE", [])

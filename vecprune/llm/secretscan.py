@@ -39,9 +39,10 @@ ALLOWED = tuple(
         r"(?:[A-Za-z]{1,20}[/_=+-]){2,}[A-Za-z]{0,20}[0-9]{0,4}",  # words joined by path or name characters
         r"[0-9]+|[A-Za-z]+",  # one class only: a number or a word
         r"(?:sha(?:1|256|384|512)|md5)[-=:_][A-Za-z0-9+/=]+",  # integrity hash
-        r"(?i:.*(?:example|placeholder|dummy|changeme|x{6,}|0{8,}).*)",
     )
 )
+# A placeholder takes its piece of a run, up to the next / or =, or itself if it's filler; the rest of the run is scanned.
+PLACEHOLDER, FILLER, PIECE = re.compile(r"(?i:example|placeholder|dummy|changeme)"), re.compile(r"[xX]{6,}|0{8,}"), re.compile(r"[^/=]+")
 
 
 def entropy_windows(run: str, window: int, least: float) -> list[tuple[int, int]]:
@@ -75,6 +76,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in found]
 
 
+def placeholders(run: str) -> list[tuple[int, int]]:
+    """The parts of a run that placeholders take, in order."""
+    out: list[tuple[int, int]] = []
+    for p in PIECE.finditer(run):
+        if PLACEHOLDER.search(p.group()):
+            out.append(p.span())
+        else:
+            out += [(p.start() + f.start(), p.start() + f.end()) for f in FILLER.finditer(p.group())]
+    return out
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans that the entropy of windows adds to the base ones."""
     found: list[tuple[int, int]] = []
@@ -83,7 +95,12 @@ def entropy_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int
             run = m.group()
             if any(a.fullmatch(run) for a in ALLOWED):
                 continue
-            found += [(m.start() + s, m.start() + e) for s, e in entropy_windows(run, window, least)]
+            at = 0
+            for end, after in [*placeholders(run), (len(run), len(run))]:
+                rest = run[at:end]
+                if not any(a.fullmatch(rest) for a in ALLOWED):
+                    found += [(m.start() + at + s, m.start() + at + e) for s, e in entropy_windows(rest, window, least)]
+                at = after
     joined: list[tuple[int, int]] = []
     for s, e in sorted(found):
         if joined and s <= joined[-1][1]:
