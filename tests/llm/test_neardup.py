@@ -64,7 +64,7 @@ def test_fixture(spark):
 
 
 def test_one_large_group_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)
     docs = variants(5, groups=1, most=60, length=100) + [(900, "q r s t u v")]
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
     assert got == brute(docs)
@@ -73,7 +73,7 @@ def test_one_large_group_in_small_blocks(spark, monkeypatch):
 def test_links_between_finds_all():
     docs = variants(8, groups=5)
     texts = [t for _, t in docs]
-    x, y = neardup.links_between(texts, np.arange(len(texts)), None)
+    x, y = neardup.links_between(neardup.sets_of(texts, neardup.Words()), np.arange(len(texts)), np.ones(len(texts), dtype=bool))
     up = list(range(len(texts)))
 
     def find(i):
@@ -114,3 +114,42 @@ def test_cases(spark):
     assert kept.columns == wide.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] not in (None, 12)) == [1, 2, 3, 5, 6, 8, 10, 13] and kept.count() == 9
     assert neardup.near_duplicates(wide.where("doc_id > 99")).count() == 0
+
+
+def test_no_row_is_lost(spark):
+    """Null and repeated ids, and ids that equal the hash of a null: every text is in one class, each class keeps one row."""
+    near = " ".join(f"n{i}" for i in range(40))
+    rows = [(None, None), (None, None), (42, "a text of its own"), (9, "the first text"), (9, "another text"), (None, near), (None, near + " x"), (7, near + " y z"), (None, "no id here"), (None, "nor here"), (5, "same row"), (5, "same row")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], DOCS + ", n long")
+    out = neardup.near_duplicates(docs).collect()
+    classes = {}
+    for r in out:
+        classes.setdefault(r["class_id"], []).append(r)
+    assert len(out) == len(rows) and len(classes) == 9
+    assert all(sum(r["is_first"] for r in c) == 1 for c in classes.values())
+    kept = neardup.keep_first(docs).collect()
+    assert len(kept) == 9 and [r["text"] for r in kept].count(None) == 2
+    assert {r["text"] for r in kept} == {t for _, t in rows} - {near, near + " x"}
+    assert {r["doc_id"] for r in kept} == {None, 42, 9, 7, 5}
+
+
+def test_sets_hold_the_weighted_similarity():
+    for a, b in (("x y " * 40, "x y " * 60), (" ".join("abcdefghij"), " ".join("abcdefghik")), ("a b", "a  B!")):
+        ca, cb = shingle_counts(a), shingle_counts(b)
+        x, y = neardup.sets_of([a, b], neardup.Words())
+        assert abs(neardup.similarity(x, y) - sum((ca & cb).values()) / sum((ca | cb).values())) < 1e-9
+    assert [len(s) for s in neardup.sets_of(["", None, "a"], neardup.Words())] == [0, 0, 1]
+
+
+def test_recall_by_edits(spark):
+    """Against all pairs, by the number of words changed: linked from a weighted similarity of 0.8 on, and only then."""
+    rng, docs = random.Random(4), []
+    for g in range(60):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(200)]
+        docs.append((2 * g, " ".join(base)))
+        for i in rng.sample(range(200), g // 6):
+            base[i] = f"new{rng.randrange(10**6)}"
+        docs.append((2 * g + 1, " ".join(base)))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
+    want = brute(docs)
+    assert got == want and got[1] == 0 and want[119] == 119

@@ -7,14 +7,18 @@ darts up to a time that leaves few coordinates empty are made, so their number f
 documents with an empty coordinate get twice the time. Two sets agree in a coordinate with the probability of their
 weighted Jaccard similarity.
 
-Equal texts are one text first. ``BANDS`` bands of ``ROWS`` coordinates make the buckets. Every text of a bucket is
+Equal texts (by MD5) are one text first. ``BANDS`` bands of ``ROWS`` coordinates make the buckets. Every text of a bucket is
 compared with the bucket's first and last, exactly; components of what passes become classes. Buckets that then hold more than
-one class are compared in full between those classes, in blocks of bounded size, in memory; only links leave a block.
+one class are compared in full between those classes: members outside the bucket's largest class with all members, in
+blocks of a bounded number of bytes; only links leave a block. What is compared are sets of 32-bit hashes, one for
+each occurrence of a shingle, so that texts are read once and the similarity of sets is the weighted one.
 Links at a similarity of 0.8 or more; a pair at 0.8 shares no bucket with probability 2 in 10,000.
 
-Defined cases: null texts are each on their own; texts without a word are in a class only with equal texts; a null doc_id
-is replaced by a hash of the text; rows of one doc_id are one document; an empty table gives an empty result; ties don't
-arise, as a class is named by its smallest id; other columns are ignored.
+Defined cases: rows are told apart by their place, not by doc_id, so no row is lost to a null or repeated doc_id. Null texts
+are each a class of their own; texts without a word are in a class only with equal texts. A class is named by its smallest
+doc_id; if that names another class already, or all its doc_ids are null, by a number below -2**62. The first row of a class
+is that of its smallest doc_id (nulls last), and any one of repeated rows. An empty table gives an empty result; long texts are
+taken whole; other columns are ignored, and ``keep_first`` keeps them all.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -34,7 +38,8 @@ from .components import components
 
 K, ROWS, BANDS = 64, 4, 16
 SHINGLE, LEAST = 5, 0.8
-BLOCK = 1000
+BLOCK_BYTES = 1 << 20
+PART_CHARS, PART_DOCS = 500_000, 2000
 WORD = re.compile(r"\w+")
 _U = np.uint64
 _FACTOR = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -50,7 +55,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Hashes of words; forgets them all when there are too many."""
 
-    MOST = 200_000
+    MOST = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:
@@ -123,84 +128,111 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two (elements, weights)."""
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    return float(both / (a[1].sum() + b[1].sum() - both))
+def sets_of(texts: list[str | None], words: Words) -> list[np.ndarray]:
+    """Each text's sorted set of 32-bit hashes of (shingle, occurrence)."""
+    doc, element, weight = shingles(texts, words)
+    heavy = np.flatnonzero(weight > 1)
+    again = np.concatenate([np.arange(1, n) for n in weight[heavy]]) if len(heavy) else np.zeros(0, np.int64)
+    doc = np.concatenate([doc, np.repeat(doc[heavy], weight[heavy] - 1)])
+    element = np.concatenate([element, _mix(np.repeat(element[heavy], weight[heavy] - 1) + again.astype(np.uint64) * _FACTOR[1])])
+    key = np.unique((doc.astype(np.uint64) << _U(32)) | (_mix(element * _FACTOR[0]) >> _U(32)))
+    cuts = np.searchsorted(key, np.arange(1, len(texts)).astype(np.uint64) << _U(32))
+    return np.split((key & _U(0xFFFFFFFF)).astype(np.uint32), cuts)
 
 
-def weighted_set(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    _, e, w = shingles([text], words)
-    return e, w
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 0 if one is empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def _parts(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts, some at a time: at least one, and a bounded number of documents and characters."""
+    part, size = [], 0
+    for text in column:
+        part.append(text.as_py())
+        size += len(part[-1] or "")
+        if size >= PART_CHARS or len(part) >= PART_DOCS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def copy_of(text: Column) -> Column:
+    """What is the same for equal texts; null for null."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """id, copy (a hash of the text) and bands of every document; bands is null where there are no words."""
+    """doc_id, _row, copy and bands of every row; bands is null where there are no words, copy is the row's own for null texts."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            texts = batch.column("text")
-            at, bands = 0, []
-            while at < len(texts):
-                part, size = [], 0
-                while at < len(texts) and size < 2_000_000:
-                    part.append(texts[at].as_py())
-                    size += len(part[-1] or "")
-                    at += 1
-                doc, element, weight = shingles(part, words)
-                keys = bands_of(signatures(doc, element, weight, len(part)))
-                some = np.bincount(doc, minlength=len(part)) > 0
-                bands += [keys[i] if some[i] else None for i in range(len(part))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array(bands, pa.list_(pa.int64()))], names=["id", "copy", "bands"])
-
-    copy = F.when(F.col("text").isNull(), F.concat(F.lit("null "), F.col("id").cast("string"))).otherwise(F.md5(F.col("text").cast("binary")))
-    return docs.select("id", copy.alias("copy"), "text").mapInArrow(kernel, "id long, copy string, bands array<long>")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. Many pairs may share their b; such keys are split by Spark."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+            bands: list[np.ndarray | None] = []
+            for part in _parts(batch.column("text")):
+                own = {t: i for i, t in enumerate(dict.fromkeys(part))}  # repeated texts are signed once
+                doc, element, weight = shingles(list(own), words)
+                keys = bands_of(signatures(doc, element, weight, len(own)))
+                some = np.bincount(doc, minlength=len(own)) > 0
+                bands += [keys[own[t]] if some[own[t]] else None for t in part]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_row", "copy")), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "_row", "copy", "bands"])
+
+    own = F.concat(F.lit("row ").cast("binary"), F.col("_row").cast("string").cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_row"))
+    return rows.select("doc_id", "_row", F.coalesce(copy_of(F.col("text")), own).alias("copy"), "text").mapInArrow(kernel, "doc_id long, _row long, copy binary, bands array<long>")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """node and set (32-bit hashes as bytes) of node, text."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, kept = Words(), None, None
+        words = Words()
         for batch in batches:
-            keep = []
-            for a, b, ta, tb in zip(*(batch.column(c) for c in ("a", "b", "ta", "tb"))):
-                if last != b.as_py():
-                    last, kept = b.as_py(), weighted_set(tb.as_py(), words)
-                keep.append(similarity(weighted_set(ta.as_py(), words), kept) >= LEAST)
+            at = 0
+            for part in _parts(batch.column("text")):
+                sets = [s.tobytes() for s in sets_of(part, words)]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(part)), pa.array(sets, pa.binary())], names=["node", "set"])
+                at += len(part)
+
+    return texts.select("node", "text").mapInArrow(kernel, "node long, set binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Many pairs may share their b; such keys are split by Spark."""
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(*(map(lambda v: np.frombuffer(v.as_buffer(), dtype=np.uint32), batch.column(c)) for c in ("sa", "sb")))
+            keep = [min(len(x), len(y)) >= LEAST * max(len(x), len(y)) and similarity(x, y) >= LEAST for x, y in pairs]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(kernel, "a long, b long")
 
 
-def links_between(texts: list[str], roots: np.ndarray, sides: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places that link different classes, at most one for each merging of two. ``sides``: only pairs across them.
+def links_between(sets: list[np.ndarray], roots: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that link different classes, at most one for each merging of two; the first place is of ``few``.
 
-    One document is compared with all others at once. Members of the largest class need no turn of their own, as every
-    pair of different classes has a member outside of it.
+    One set is compared with all others at once.
     """
-    doc, element, weight = shingles(texts, Words())
-    kinds, code = np.unique(element, return_inverse=True)
-    starts, total = np.searchsorted(doc, np.arange(len(texts))), np.bincount(doc, weights=weight, minlength=len(texts))
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    some = np.flatnonzero(sizes)
+    kinds, code = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
     _, label = np.unique(roots, return_inverse=True)
-    own, xs, ys = np.zeros(len(kinds), dtype=weight.dtype), [], []
-    for x in np.flatnonzero(label != np.bincount(label).argmax()):
-        others = label != label[x]
-        if sides is not None:
-            others &= sides != sides[x]
+    own, xs, ys = np.zeros(len(kinds), dtype=bool), [], []
+    for x in np.flatnonzero(few & (sizes > 0)):
+        others = label[some] != label[x]
         if not others.any():
             continue
-        part = slice(starts[x], starts[x + 1] if x + 1 < len(texts) else len(code))
-        own[code[part]] = weight[part]
-        both = np.add.reduceat(np.minimum(weight, own[code]), starts)
-        own[code[part]] = 0
-        found = np.flatnonzero(others & (both >= LEAST * (total + total[x] - both)))
+        part = code[ends[x] - sizes[x] : ends[x]]
+        own[part] = True
+        both = np.add.reduceat(own[code], (ends - sizes)[some], dtype=np.int64)
+        own[part] = False
+        found = some[others & (both >= LEAST * (sizes[some] + sizes[x] - both))]
         for other in np.unique(label[found]):
             xs.append(x)
             ys.append(found[label[found] == other][0])
@@ -208,54 +240,83 @@ def links_between(texts: list[str], roots: np.ndarray, sides: np.ndarray | None)
     return np.array(xs, dtype=np.int64), np.array(ys, dtype=np.int64)
 
 
-def _between(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between different classes of one bucket. ``members``: key, id, root, n (members of the bucket)."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.select("key", "id", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
-    spread = dealt.select("key", "id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("key", "id", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def _between(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different classes of a bucket. ``members``: key, node, root.
+
+    Every pair of classes has a member outside of the bucket's largest class, so those (the few) meet all members, in blocks
+    of about ``BLOCK_BYTES``: a member of the largest class goes to each block of the few, which is mostly one.
+    """
+    sized = members.join(sets.select("node", F.octet_length("set").cast("long").alias("size")), "node")
+    of_class = sized.groupBy("key", "root").agg(F.sum("size").alias("size"))
+    of_key = of_class.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "root")).alias("most"))
+    blocks = [F.greatest(F.lit(1), F.ceil(b / BLOCK_BYTES)).cast("int") for b in (F.col("all") - F.col("most.size"), F.col("all"))]
+    of_key = written(of_key.select("key", F.col("most.root").alias("main"), blocks[0].alias("rows"), blocks[1].alias("cols")), "buckets-to-compare")
+    dealt = members.join(of_key, "key").withColumn("few", F.col("root") != F.col("main"))
+    dealt = dealt.select("key", "node", "root", "few", "rows", "cols", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("row"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("cols")).cast("int").alias("col"))
+    down = dealt.select("key", "node", "root", F.lit(False).alias("few"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), "col")
+    across = dealt.where("few").select("key", "node", "root", F.lit(True).alias("few"), "row", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        cross = pdf["own"].to_numpy() if pdf["i"].iloc[0] != pdf["j"].iloc[0] else None
-        ids = pdf["id"].to_numpy()
-        x, y = links_between(pdf["text"].tolist(), pdf["root"].to_numpy(), cross)
-        return pd.DataFrame({"a": ids[x], "b": ids[y]})
-
-    return spread.join(texts, "id").groupBy("key", "i", "j").applyInPandas(kernel, "a long, b long")
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """(id, class_id) of every distinct id: the smallest id of its class."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text")
-    signed = written(_signed(rows), "signatures")
-    copies = signed.groupBy("copy").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    copies = written(copies, "distinct-texts")
-    keys = copies.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+        few, nodes = pdf["few"].to_numpy(dtype=bool), pdf["node"].to_numpy()
+        if not few.any():
+            return pd.DataFrame({"a": nodes[:0], "b": nodes[:0]})
+        x, y = links_between([np.frombuffer(s, dtype=np.uint32) for s in pdf["set"]], pdf["root"].to_numpy(), few)
+        return pd.DataFrame({"a": nodes[x], "b": nodes[y]})
+
+    return down.union(across).join(sets, "node").groupBy("key", "row", "col").applyInPandas(kernel, "a long, b long")
+
+
+def _roots(copies: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of the texts of ``copies`` (node, copy, bands) that are linked to another."""
+    keys = copies.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), "node")
+    buckets = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     members = written(keys.join(buckets, "key"), "buckets")
-    texts = rows.where(F.col("text").isNotNull()).join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    texts = written(texts, "texts")
-    ends = members.select("id", F.explode(F.array("least", "most")).alias("end")).where("id <> end")
-    pairs = ends.select(F.greatest("id", "end").alias("a"), F.least("id", "end").alias("b")).distinct()
-    links = written(_verified(pairs, texts), "links")
+    wanted = copies.select("node", "copy").join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.where(F.col("text").isNotNull()).select(copy_of(F.col("text")).alias("copy"), "text").groupBy("copy").agg(F.first("text").alias("text"))
+    sets = written(_sets(texts.join(wanted, "copy")), "sets")
+    ends = members.select("node", F.explode(F.array("least", "most")).alias("end")).where("node <> end")
+    pairs = ends.select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct()
+    links = written(_verified(pairs, sets), "links")
     roots = components(links)
-    rooted = members.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    more = written(_between(rooted.join(mixed, "key"), texts), "more-links")
-    if more.count():
-        roots = components(links.union(more))
-    of_text = copies.select("copy", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("copy", F.coalesce("root", "rep").alias("root"))
-    return signed.select("id", "copy").join(of_text, "copy").groupBy("id").agg(F.min("root").alias("class_id"))
+    rooted = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    more = written(_between(written(rooted.join(mixed, "key"), "mixed-buckets"), sets), "more-links")
+    return roots if more.isEmpty() else components(links.union(more))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row (doc_id, _row, copy) and every class's texts: copy, class_id, and the class's first row as doc_id, _row, copy, n."""
+    signed = written(_signed(docs), "signatures")
+    rows = signed.groupBy("copy", "doc_id").agg(F.min("_row").alias("_row"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row", "copy", "n")
+    copies = rows.groupBy("copy").agg(F.min(first).alias("lo"), F.first("bands").alias("bands"))
+    copies = written(copies.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
+    roots = _roots(copies, docs)
+    of_text = written(copies.select("copy", "lo", "node").join(roots, "node", "left").select("copy", "lo", F.coalesce("root", "node").alias("root")), "roots")
+    best = of_text.groupBy("root").agg(F.min("lo").alias("lo"))
+    owner = best.where("lo.doc_id IS NOT NULL").groupBy(F.col("lo.doc_id").alias("name")).agg(F.min("root").alias("root"), F.lit(True).alias("owns"))
+    named = best.join(owner, "root", "left").select("root", "lo", F.when(F.col("owns"), F.col("name")).otherwise(F.col("root") - F.lit(2**63 - 1)).alias("class_id"))
+    return signed.select("doc_id", "_row", "copy"), of_text.select("copy", "root").join(named, "root").select("copy", "class_id", "lo")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, class_id, and whether it's the one that stands for its class."""
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"))
-    return rows.join(classes(docs), "id").select("doc_id", "class_id", (F.col("id") == F.col("class_id")).alias("is_first"))
+    rows, classes = _classes(docs)
+    return rows.join(classes, "copy").select("doc_id", "class_id", (F.col("_row") == F.col("lo._row")).alias("is_first"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, all columns kept."""
-    chosen = classes(docs).where("id = class_id").select("id")
-    keyed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"))
-    return keyed.join(chosen, "id", "left_semi").dropDuplicates(["id"]).select("doc.*")
+    _, classes = _classes(docs)
+    chosen = written(classes.select("lo.copy", "lo.doc_id", "lo.n").distinct(), "first-rows")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), copy_of(F.col("text")).alias("copy"))
+
+    def held(of: DataFrame) -> DataFrame:
+        right = of.select(F.col("copy").alias("c"), F.col("doc_id").alias("d"))
+        return rows.where(F.col("copy").isNotNull()).join(right, (F.col("copy") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+
+    out = held(chosen.where("n = 1")).select("doc.*").union(docs.where(F.col("text").isNull()))
+    repeated = chosen.where("n > 1")
+    if not repeated.isEmpty():  # rows that agree in doc_id and text: any one of them
+        out = out.union(held(repeated).groupBy("copy").agg(F.first("doc").alias("doc")).select("doc.*"))
+    return out
