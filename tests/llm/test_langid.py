@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from vecprune.llm import langid
 
@@ -98,3 +99,29 @@ def test_even_scores_are_not_identified():
     for k in (2, 4, 9):
         m = langid.Model([f"l{i}" for i in range(k)], {})
         assert langid.Tagger(m).identified([["abc", "def"]], 0.25) == [False]
+
+
+def test_number_signs_are_no_letters(spark):
+    assert langid.words_of("\u00bd \u00b2\u00b3 \u2167 7") == [] and langid.words_of("ab\u00bdcd, \u00c9t\u00e9 \u2167x") == ["ab", "cd", "\u00e9t\u00e9", "x"]
+    rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(99, "\u00bd \u00b2\u00b3", "en"), (98, "\u2167", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[99] == got[98] == "und" and got[0] == "en"
+
+
+def test_query_against_plain_forward_backward(spark):
+    """Every word's probabilities by the textbook recursion in logarithms, over each whole text as one chain."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(langid.sample(docs.where(~langid.held_out(F.col("doc_id")))))
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for r in docs.collect():
+        words = "".join(c if c.isalpha() else " " for c in r["text"].lower()).split()
+        words = [w[i : i + langid.PIECE] for w in words for i in range(0, len(w), langid.PIECE)]
+        e = model.emissions(words)
+        a, b = [e[0]], [np.zeros(len(model.labels))]
+        for x in e[1:]:
+            a.append(np.logaddexp.reduce(a[-1][:, None] + model.step, axis=0) + x)
+        for x in e[:0:-1]:
+            b.append(np.logaddexp.reduce(model.step + (x + b[-1])[None, :], axis=1))
+        both = np.array(a) + np.array(b[::-1])
+        mean = np.exp(both - np.logaddexp.reduce(both, axis=1, keepdims=True)).mean(axis=0)
+        assert abs(got[r["doc_id"]]["score"] - mean.max()) < 1e-4 and got[r["doc_id"]]["lang_pred"] == model.labels[mean.argmax()]

@@ -18,6 +18,8 @@ def test_stages(spark):
         if name == "language ID":
             gone = {r["doc_id"] for r in langid.identify(before).where("lang_pred = 'und' or score < 0.25").collect()}
             assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()} - gone
+            found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(before).collect()}
+            assert all(r["lang"] == found[r["doc_id"]] for r in after.collect())
         if name == "near-dedup":
             assert sorted(r["doc_id"] for r in after.collect()) == sorted({r["class_id"] for r in neardup.near_duplicates(before).collect()})
         if name == "decontamination":

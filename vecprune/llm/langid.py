@@ -33,12 +33,17 @@ PIECE, BITS = 24, 17
 WORD = re.compile(r"[^\W\d_]{1,%d}" % PIECE)
 FIT_DOCS, FIT_CHARS, LEXICON = 500, 1500, 400
 MARGIN, LEAST_KNOWN = 0.1, 0.6
+PART_CHARS, PART_DOCS = 400_000, 1000
 UND = "und"
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters. ``WORD`` lets number signs such as a half through; they part words too."""
+    words = WORD.findall(text.lower()) if text else []
+    if words and not "".join(words).isalpha():
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return words
 
 
 def _slot(values: np.ndarray, kind: int) -> np.ndarray:
@@ -193,7 +198,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 11, epochs: int = 4, length: in
 class Tagger:
     """Language probabilities of documents, with a bounded store of words' emissions."""
 
-    CHUNK, STORE = 64, 200_000
+    CHUNK, STORE = 64, 100_000
 
     def __init__(self, model: Model):
         self.model, self.ids, self.table = model, {}, np.zeros((0, len(model.labels)), dtype=np.float32)
@@ -220,12 +225,16 @@ class Tagger:
         sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
         return np.bincount(np.repeat(np.arange(len(docs)), sizes), weights=shares, minlength=len(docs)) / np.maximum(sizes, 1)
 
-    def identified(self, docs: list[list[str]], least: float = 0.0) -> list[bool]:
-        """Whether each document's language can be told, at a score of ``least`` or more."""
+    def named(self, docs: list[list[str]], least: float = 0.0) -> list[str | None]:
+        """Each document's language, or null if it can't be told at a score of ``least`` or more."""
         k = len(self.model.labels)
         least = max(least, 1 / k + MARGIN * (1 - 1 / k)) - 1e-6
-        total, known = self.sums(docs).max(axis=1), self.known(docs)
-        return [bool(w) and bool(total[r] >= least * len(w)) and bool(known[r] >= self.model.least_known) for r, w in enumerate(docs)]
+        total, known = self.sums(docs), self.known(docs)
+        fine = [bool(w) and bool(total[r].max() >= least * len(w)) and bool(known[r] >= self.model.least_known) for r, w in enumerate(docs)]
+        return [self.model.labels[total[r].argmax()] if ok else None for r, ok in enumerate(fine)]
+
+    def identified(self, docs: list[list[str]], least: float = 0.0) -> list[bool]:
+        return [lang is not None for lang in self.named(docs, least)]
 
     def sums(self, docs: list[list[str]]) -> np.ndarray:
         """Per document, the sum of its words' language probabilities. Chains are cut in chunks that go side by side."""
@@ -319,7 +328,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         tagger = Tagger(model) if model else None
         for batch in batches:
             langs, scores, sizes = [], [], []
-            for part in _parts(batch.column("text"), 1_000_000):
+            for part in _parts(batch.column("text"), len(model.labels) if model else 1):
                 words = [words_of(t) for t in part]
                 sizes += map(len, words)
                 if not tagger:
@@ -336,14 +345,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(kernel, f"doc_id {doc_id}, lang_pred string, score double, n_words long")
 
 
-def _parts(texts: pa.Array, most: int) -> Iterator[list[str | None]]:
-    """The texts, some at a time: about ``most`` characters, at least one text."""
-    part, size = [], 0
+def _parts(texts: pa.Array, labels: int) -> Iterator[list[str | None]]:
+    """The texts, some at a time: at least one, and as many documents and characters as take bounded memory at so many labels."""
+    part, size, share = [], 0, max(1, labels / 4)
     for t in texts:
         t = t.as_py()
         part.append(t)
         size += len(t or "")
-        if size >= most:
+        if size * share >= PART_CHARS or len(part) * share >= PART_DOCS:
             yield part
             part, size = [], 0
     if part:
@@ -365,17 +374,20 @@ def crc_held_out(doc_id: int) -> bool:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """``docs`` without the documents whose language can't be told: ``und``, a score under
-    ``least`` or hardly above an even share of the languages, or letters unlike those of the fit sample. All columns stay."""
+    """``docs`` without the documents whose language can't be told: ``und``, a score under ``least`` or hardly above an even
+    share of the languages, or letters unlike those of the fit sample. ``lang`` becomes the identified language; all other
+    columns stay as they are, and only the text goes through Python."""
     model = fit(sample(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")))
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = Tagger(model) if model else None
-        for batch in batches:
-            keep: list[bool] = []
-            for part in _parts(batch.column("text"), 1_000_000):
-                words = [words_of(t) for t in part]
-                keep += tagger.identified(words, least) if tagger else [False] * len(words)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(kernel, docs.schema)
+        for texts in columns:
+            out: list[str | None] = []
+            for part in _parts(texts, len(model.labels) if model else 1):
+                out += tagger.named([words_of(t) for t in part], least) if tagger else [None] * len(part)
+            yield pa.array(out, pa.string())
+
+    # Non-deterministic, so that the optimizer doesn't run it in the filter and again for the column.
+    lang = F.arrow_udf(named, "string").asNondeterministic()
+    found = docs.select(F.struct("*").alias("doc"), lang(F.col("text")).alias("found")).where(F.col("found").isNotNull())
+    return found.select(*[F.col("found").cast(docs.schema[c].dataType).alias(c) if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns])
