@@ -2,7 +2,8 @@
 
 Words are runs of ``WORD`` after lower-casing A-Z. A window is 13 consecutive words of an item; an item of 1 to 12 words is
 one window. The hashes of all windows form a set that every task holds, if there are no more than ``max_set`` of them;
-beyond that, the documents' windows are joined with them by a shuffle. Every hit is verified by its words.
+beyond that, the hashes of the documents' windows, without words, are joined with them by a shuffle. Every hit is verified
+by its words.
 
 Defined cases: null and empty texts have no words and no hits; a null item_id hits but isn't listed; repeated documents
 each get their row; repeated items count once; an empty benchmark hits nothing; other columns are ignored.
@@ -13,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 13
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -35,24 +37,37 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_set: int = 300_000) -> DataFrame:
     """Per document row: doc_id, n_words, spans (array of start word and length, verified, by start), items (item_ids hit)."""
-    spark = docs.sparkSession
-    windows = benchmark_windows(benchmark, size).cache()
-    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
+    windows = written(benchmark_windows(benchmark, size), "windows")
+    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most ``size``
     small = windows.count() <= max_set
-    base = docs.select("doc_id", words_of(F.col("text")).alias("_w")).withColumn("_id", F.monotonically_increasing_id())
+    base = docs.select("doc_id", words_of(F.col("text")).alias("_w"))
+    if not small:  # what is joined needs the same ids in every job
+        base = written(base.withColumn("_id", F.monotonically_increasing_id()), "document-words")
+    else:
+        base = base.withColumn("_id", F.monotonically_increasing_id())
     base = base.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
 
-    def spotted(length: int) -> Column:
-        at = F.expr(f"sequence(1, size(_h) - {length - 1})")
-        if small:
-            known = [r["window_hash"] for r in windows.where(F.col("length") == length).select("window_hash").distinct().collect()]
-            at = F.expr(f"filter(sequence(1, size(_h) - {length - 1}), i -> xxhash64(slice(_h, i, {length})) IN ({', '.join(f'{k}L' if k > -(2**63) else '(-9223372036854775807L - 1L)' for k in known)}))")
-        found = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), F.xxhash64(F.slice("_h", i, length)).alias("hash"), F.array_join(F.slice("_w", i, length), " ").alias("window")))
+    def spotted(length: int, known: list[int] | None) -> Column:
+        """Places whose hash is a window's, with the hash; with ``known`` null, all places."""
+        at = f"sequence(1, size(_h) - {length - 1})"
+        if known is not None:
+            at = f"filter({at}, i -> xxhash64(slice(_h, i, {length})) IN ({', '.join(f'{k}L' if k > -(2**63) else '(-9223372036854775807L - 1L)' for k in known)}))"
+        found = F.transform(F.expr(at), lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), F.xxhash64(F.slice("_h", i, length)).alias("hash")))
         return F.when(F.size("_h") >= length, found)
 
-    empty = F.array().cast("array<struct<at:int,length:int,hash:bigint,window:string>>")
-    found = F.concat(*[F.coalesce(spotted(n), empty) for n in lengths]) if lengths else empty
-    each = base.select("_id", "doc_id", F.size("_w").cast("long").alias("n_words"), F.explode_outer(found).alias("_hit"))
+    empty = F.array().cast("array<struct<at:int,length:int,hash:bigint>>")
+    if small:
+        sets = {n: [r["window_hash"] for r in windows.where(F.col("length") == n).select("window_hash").distinct().collect()] for n in lengths}
+        spots = F.concat(*[F.coalesce(spotted(n, sets[n]), empty) for n in lengths]) if lengths else empty
+    else:
+        # Hashes alone are shuffled; only the places whose hash is a window's come back to the words.
+        every = base.select("_id", F.explode(F.concat(*[F.coalesce(spotted(n, None), empty) for n in lengths])).alias("s"))
+        hashes = windows.select(F.col("window_hash").alias("_known")).distinct()
+        hit = every.join(hashes, F.col("s.hash") == F.col("_known"), "left_semi").groupBy("_id").agg(F.collect_list("s").alias("_spots"))
+        base = base.join(hit, "_id", "left")
+        spots = F.coalesce("_spots", empty)
+    spots = F.transform(spots, lambda s: s.withField("window", F.array_join(F.slice("_w", s["at"], s["length"]), " ")))
+    each = base.select("_id", "doc_id", F.size("_w").cast("long").alias("n_words"), F.explode_outer(spots).alias("_hit"))
     each = each.select("_id", "doc_id", "n_words", F.col("_hit.at").alias("_at"), F.col("_hit.length").alias("_n"), F.col("_hit.hash").alias("window_hash"), F.col("_hit.window").alias("window"))
     known = windows.select("window_hash", "window", F.col("item_id").alias("_item"), F.lit(True).alias("_true"))
     joined = each.join(F.broadcast(known) if small else known, ["window_hash", "window"], "left")
@@ -88,7 +103,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated documents; rows of one doc_id and text are judged alike."""
-    bad = decontaminate_keys(docs, benchmark, **options)
+    bad = written(decontaminate_keys(docs, benchmark, **options), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST_KEYS else bad
     keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("_key"))
     return keyed.join(bad, "_key", "left_anti").select("doc.*")
 
