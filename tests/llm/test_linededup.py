@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from vecprune.llm import linededup
 from vecprune.llm.components import components
@@ -111,14 +110,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_signature_is_the_following_hash(spark):
-    rng = random.Random(2)
-    rows = [(sorted(rng.randrange(-(2**63), 2**63) for _ in range(n)),) for n in (1, 2, 5, 40, 200)] + [([-(2**63), 2**63 - 1],)]
-    for h, got in spark.createDataFrame(rows, "h array<long>").select("h", linededup.signature(F.col("h"))).collect():
-        points = [-(2**63) + i * 2**59 for i in range(32)]
-        assert got == [min(h, key=lambda x: (x - p) % 2**64) for p in points]
-
-
 def test_unlike_lines_stay(spark):
     """Lines whose words only begin alike stay; lines that differ in the last two letters don't."""
     rng = random.Random(9)

@@ -1,10 +1,9 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 A trimmed line's shingles are the ``SHINGLE`` characters from every position, in banding and in the exact comparison; a
-shorter line is its own only shingle. They're cut from UTF-32, where a position is found at once. A signature has ``POINTS``
-coordinates: hashes lie on a ring, points divide it evenly, and each point takes the hash that follows it. Any one coordinate
-is a MinHash, as that hash is the least of all under the rotation of the ring to the point. All follow from one sorted array:
-a hash is repeated as often as there are points between it and the one before. Bands of ``ROWS`` coordinates, far apart on the ring, make buckets. Every line of a bucket is compared with four of the bucket's lines (the first and
+shorter line is its own only shingle. They're cut from UTF-32, where a position is found at once. A signature is the least of the shingles' hashes under ``BANDS * ROWS``
+permutations (a rotation by 0 to 48 bits and an exclusive-or with a seed), all made in one aggregation of the exploded
+shingles. Bands of ``ROWS`` make buckets. Every line of a bucket is compared with four of the bucket's lines (the first and
 last by hash, and by a hash of that), by exact Jaccard similarity of the shingles' hashes; distributed union-find makes components. Buckets that
 then hold several components are compared again: all pairs of different components, in buckets of more than ``SMALL`` lines
 by salted blocks of about as many. A bound from bit marks of the shingles
@@ -28,7 +27,6 @@ from .common import written
 from .components import components
 
 SHINGLE, BANDS, ROWS, LEAST, SMALL, MARKS = 8, 10, 3, 0.8, 512, 16
-POINT_BITS = 5  # 32 points, of which the bands use 30
 WIDE = 4 * SHINGLE
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -64,21 +62,21 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.withColumn("id", _once(_trimmed(F.col("line")), lambda x: F.when(x != "", F.xxhash64(x))))
 
 
-def signature(hashes: Column) -> Column:
-    """For each of the ring's points, the hash that follows it. ``hashes``: sorted, at least one."""
-    bin_of = lambda x: F.shiftright(x, 64 - POINT_BITS).cast("int")  # noqa: E731 - from -16 to 15, in the order of the hashes
-    first, last = -(1 << (POINT_BITS - 1)), (1 << (POINT_BITS - 1)) - 1
-    before = lambda i: F.when(i == 0, F.lit(first - 1)).otherwise(bin_of(F.get(hashes, i - 1)))
-    each = F.transform(hashes, lambda x, i: F.array_repeat(x, bin_of(x) - before(i)))
-    around = F.array_repeat(F.get(hashes, F.lit(0)), F.lit(last) - bin_of(F.element_at(hashes, -1)))
-    return F.concat(F.flatten(each), around)
+def _seed(i: int) -> int:
+    """Permutations of one hash function differ in their top bits, so that they pick from different parts of the hashes."""
+    top = (i // 4) << 61
+    low = (0x9E3779B97F4A7C15 * (i + 1)) % (1 << 61)
+    value = top | low
+    return value - (1 << 64) if value >= 1 << 63 else value
 
 
 def _banded(lines: DataFrame) -> DataFrame:
-    """(id, b0, b1, ...), the band keys of every distinct line. Copies of a line are one row a task before the shuffle."""
-    keys = lambda m: F.array(*[F.xxhash64(F.lit(b), *[F.get(m, F.lit(b + BANDS * r)) for r in range(ROWS)]) for b in range(BANDS)])
-    signed = lines.select("id", _once(_once(F.sort_array(_hashes(_trimmed(F.col("line")))), signature), keys).alias("bands"))
-    return signed.groupBy("id").agg(*[F.min(F.get("bands", F.lit(b))).alias(f"b{b}") for b in range(BANDS)])
+    """(id, bands), the band keys of every distinct line. Copies of a line meet as one row of minima a task, not as texts."""
+    wide = lines.select("id", _encoded(_trimmed(F.col("line"))).alias("e"))
+    each = wide.select("id", "e", F.explode(_places(F.col("e"))).alias("i")).select("id", F.xxhash64(F.substring("e", F.col("i") + 1, F.lit(WIDE))).alias("s0"))
+    each = each.select("id", "s0", *[F.expr(f"shiftleft(s0, {16 * j}) | shiftrightunsigned(s0, {64 - 16 * j})").alias(f"s{j}") for j in (1, 2, 3)])
+    signed = each.groupBy("id").agg(*[F.min(F.col(f"s{i % 4}").bitwiseXOR(F.lit(_seed(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)])
+    return signed.select("id", F.array(*[F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 
 def _marks(texts: DataFrame) -> DataFrame:
@@ -124,7 +122,7 @@ def _between(members: DataFrame) -> DataFrame:
 
 def line_components(lines: DataFrame) -> DataFrame:
     """(node, root) of the distinct lines, by hash, that have a similar one. ``lines``: id and line of lines that aren't blank."""
-    keyed = _banded(lines).select(F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("key"), "id").repartition("key")
+    keyed = _banded(lines).select(F.explode("bands").alias("key"), "id").repartition("key")
     shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     members = written(keyed.join(shared.hint("shuffle_hash"), "key"), "line-buckets")
     ids = written(members.select("id").distinct(), "line-ids")
