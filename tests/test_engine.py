@@ -9,7 +9,8 @@ from vecprune.operators.index import Index, build_index, find_children, paths, s
 from vecprune.operators.knn import _in_blocks, collect_nn, exact_knn, nearest_of, topk
 from vecprune.operators.route import assign, assign_random, route_greedy, unwritten_leaders
 from vecprune.operators.sampling import expected_size, kept
-from vecprune.operators.search import index_knn, routes_of
+from vecprune.operators import knn
+from vecprune.operators.search import index_knn, index_knn_files, routes_of
 from vecprune.schema import EDGES, NODES, POINTS, QUERIES
 from vecprune.sources.clusters import read_clusters, write_clusters, written_clusters
 
@@ -37,7 +38,7 @@ def index(points, request):
 def test_engines_agree(points, queries):
     a, b = exact_knn(points, queries, 7), exact_knn(points, queries, 7, "sql")
     assert rows(a.select(b.columns)) == rows(b)
-    blocks = topk(_in_blocks(points, queries, 7, 15), 7)
+    blocks = topk(_in_blocks(points, queries, 7), 7)
     assert rows(blocks.select(b.columns)) == rows(b)
 
 
@@ -170,3 +171,36 @@ def test_empty_tables(spark):
     empty, query = spark.createDataFrame([], POINTS), spark.createDataFrame([(1, [0.0])], QUERIES)
     assert exact_knn(empty, query, 3).count() == 0
     assert exact_knn(spark.createDataFrame([(1, [0.0])], POINTS), spark.createDataFrame([], QUERIES), 3).count() == 0
+
+
+def test_points_are_neither_shuffled_nor_broadcast(spark, points, queries, index):
+    """Assignment streams the points past the index; a search shuffles them once, by cluster."""
+    plan = assign(points, index, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    joins = route_greedy(points.withColumnRenamed("point_id", "id"), index, 2, False, "sql")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin BuildLeft" not in joins
+    routed = routes_of(queries, index, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in routed
+
+
+def test_search_opens_only_the_files_of_routed_clusters(spark, points, queries, tmp_path):
+    index, path = build_index(points, 2, 2, record_bytes=40, io_granularity=400), str(tmp_path / "c")
+    write_clusters(assign(points, index, 2), path, 8)
+    routes = routes_of(queries.where("query_id = 3"), index, 1)
+    found = index_knn_files(spark, path, routes, 5)
+    assert rows(found) == rows(index_knn(read_clusters(spark, path), routes, 5))
+    opened = read_clusters(spark, path, [r["cluster_id"] for r in routes.collect()])
+    assert len(opened.inputFiles()) >= 1 and opened.select("point_id").rdd.getNumPartitions() < read_clusters(spark, path).rdd.getNumPartitions()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_a_point_of_several_clusters_counts_once(spark, points, queries, index):
+    found = index_knn(assign(points, index, 3), routes_of(queries, index, 4), 10)
+    assert found.count() == found.select("query_id", "point_id").distinct().count()
+
+
+def test_queries_too_large_to_broadcast(points, queries, monkeypatch):
+    want = rows(exact_knn(points, queries, 7))
+    monkeypatch.setattr(knn, "MAX_BROADCAST_BYTES", 100)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 6000)
+    assert rows(exact_knn(points, queries, 7)) == want == rows(exact_knn(points, queries, 7, "sql"))

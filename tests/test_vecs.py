@@ -74,6 +74,41 @@ def test_stream(spark, folder, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "o")).collect()) == list(range(1000))
 
 
+def test_stream_reads_every_file_once(spark, tmp_path):
+    """Files that arrive later come first by name, and one grows; a new query goes on from the checkpoint."""
+    register(spark)
+    (tmp_path / "in").mkdir()
+
+    def seen():
+        rows = spark.readStream.format("vecs").option("kind", "fvecs").load(str(tmp_path / "in"))
+        q = rows.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r["point_id"], r["descriptor"][0]) for r in spark.read.parquet(str(tmp_path / "o")).collect())
+
+    save(tmp_path / "in" / "b.fvecs", [[1.0], [2.0], [3.0]], "fvecs")
+    assert seen() == [(0, 1.0), (1, 2.0), (2, 3.0)]
+    save(tmp_path / "in" / "a.fvecs", [[100.0], [200.0]], "fvecs")
+    assert [v for _, v in seen()] == [1.0, 2.0, 3.0, 100.0, 200.0]
+    save(tmp_path / "in" / "b.fvecs", [[1.0], [2.0], [3.0], [4.0]], "fvecs")
+    assert seen() == [(0, 1.0), (1, 2.0), (2, 3.0), (3, 100.0), (4, 200.0), (5, 4.0)]
+
+
+def test_append_and_overwrite(spark, tmp_path):
+    path = str(tmp_path / "x.fvecs")
+    vectors = lambda a, b: spark.createDataFrame([(i, [float(i), 0.5]) for i in range(a, b)], "point_id long, descriptor array<float>")
+    write_vecs(vectors(0, 20), path, "fvecs", 3)
+    write_vecs(vectors(20, 25), path, "fvecs", 2)
+    assert [r["descriptor"][0] for r in read_vecs(spark, path).orderBy("point_id").collect()] == list(range(25))
+    write_vecs(vectors(7, 10), path, "fvecs", 2, "overwrite")
+    assert [r["descriptor"][0] for r in read_vecs(spark, path).orderBy("point_id").collect()] == [7.0, 8.0, 9.0]
+
+
+def test_splits_follow_the_size(spark, folder):
+    at, base = folder
+    assert read_vecs(spark, f"{at}/base.fvecs").rdd.getNumPartitions() == 1
+    assert read_vecs(spark, f"{at}/base.fvecs", splitBytes=516 * 90).rdd.getNumPartitions() == 12
+
+
 @pytest.mark.parametrize("mode", ["batch", "stream"])
 @pytest.mark.parametrize("method", ["scan", "index"])
 def test_jobs(spark, folder, tmp_path, mode, method):

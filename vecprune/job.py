@@ -22,10 +22,10 @@ from .operators.route import assign, assign_random, unwritten_leaders
 from .operators.search import index_knn, routes_of
 from .operators.sampling import IO_GRANULARITY, RECORD_BYTES
 from .plans.sink import write_scores
-from .plans.stage import new_path
-from .sources.clusters import read_clusters, write_clusters
+from .plans.stage import new_path, written
+from .sources.clusters import BUCKETS, POINTS_OF_BUCKET, read_clusters, write_clusters, written_clusters
 from .sources.vecs import COMPONENT, read_vecs, register
-from .streaming.search import stream_exact, stream_index
+from .streaming.search import latencies, stream_exact, stream_index
 
 log = logging.getLogger(__name__)
 
@@ -83,18 +83,26 @@ def run(spark: SparkSession, o: argparse.Namespace) -> None:
             for r in sizes(index).orderBy("level").collect():
                 log.info("level %d: %d nodes, %d expected", r["level"], r["actual"], r["expected"])
             found = index_knn(assign(base, index, o.a), routes_of(queries, index, o.b, o.routing or "leaf_scan"), o.k)
-        write_scores(score_lines(score(collect_nn(found), truth), o.k, F.lit(int((time.time() - began) * 1000))), o.output)
+        found = written(collect_nn(found), "found")  # the search runs here, so that the time that follows covers it
+        took = int((time.time() - began) * 1000)
+        log.info("searched in %.1f s", took / 1000)
+        write_scores(score_lines(score(found, truth), o.k, F.lit(took)), o.output)
         return
+    buckets = max(BUCKETS, base.count() // POINTS_OF_BUCKET) if o.recluster == "true" else BUCKETS
     if o.method == "scan":
         if o.recluster == "true":
-            write_clusters(assign_random(base, o.clusterSize), o.clusters)
+            write_clusters(assign_random(base, o.clusterSize), o.clusters, buckets)
     elif o.recluster == "true":
         index = build_index(base, o.L, o.treeA, o.seed, o.record_bytes, o.io_granularity)
         index.save(o.index)
         assigned = assign(base, index, o.a)
-        write_clusters(assigned, o.clusters)
-        log.info("clustered in %.1f s; %d leaders without points", time.time() - began, unwritten_leaders(index, read_clusters(spark, o.clusters)).count())
+        write_clusters(assigned, o.clusters, buckets)
+        log.info("clustered %d points in %.1f s", index.n_points, time.time() - began)
     points = read_clusters(spark, o.clusters)
+    if o.method == "index":
+        missing = unwritten_leaders(Index.load(spark, o.index), written_clusters(spark, o.clusters)).count()
+        if missing:
+            log.warning("%d leaders have no cluster file", missing)
     out, checkpoint = new_path(spark, "stream-out"), new_path(spark, "stream-checkpoint")
     register(spark)
     if o.query.rpartition(".")[2] in COMPONENT:
@@ -104,11 +112,11 @@ def run(spark: SparkSession, o: argparse.Namespace) -> None:
     if o.method == "scan":
         query = stream_exact(_as_queries(stream), points, o.k, out, checkpoint)
     else:
-        query = stream_index(_as_queries(stream), points, Index.load(spark, o.index), o.b, o.k, out, checkpoint, o.routing or "widen")
+        query = stream_index(_as_queries(stream), o.clusters, Index.load(spark, o.index), o.b, o.k, out, checkpoint, o.routing or "widen")
     query.awaitTermination()
     found = spark.read.parquet(out)
-    latency = spark.read.parquet(f"{out}-latency").agg(F.max("latency_ms")).first()[0]
-    write_scores(score_lines(score(collect_nn(found), truth), o.k, F.lit(latency)), o.output)
+    scored = score(collect_nn(found), truth).join(latencies(found, out), "query_id")
+    write_scores(score_lines(scored, o.k, F.col("latency_ms")), o.output)
 
 
 def main(args: list[str] | None = None) -> None:

@@ -12,12 +12,24 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import matrix, nearest, sq_l2, sq_l2_pairs
 
-#: Vectors that a task may hold of a broadcast side; beyond, both sides are dealt into blocks.
-MAX_BROADCAST_ROWS = 200_000
-BLOCK_ROWS = 50_000
+#: Bytes of vectors that a task may hold of a broadcast side; beyond, both sides are dealt into blocks of ``BLOCK_BYTES``.
+MAX_BROADCAST_BYTES = 128 << 20
+BLOCK_BYTES = 16 << 20
 
 
-def topk(candidates: DataFrame, k: int, by: str = "query_id", item: str = "point_id") -> DataFrame:
+def extent(vectors: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of a row: an id and 32-bit floats."""
+    found = vectors.agg(F.count("*").alias("n"), F.max(F.size("descriptor")).alias("dim")).first()
+    return found["n"], 8 + 4 * (found["dim"] or 0)
+
+
+def fits(vectors: DataFrame) -> bool:
+    """Whether every task may hold all of ``vectors``."""
+    n, width = extent(vectors)
+    return n * width <= MAX_BROADCAST_BYTES
+
+
+def topk(candidates: DataFrame, k: int, by: str | list[str] = "query_id", item: str = "point_id") -> DataFrame:
     """Each group's k nearest by (dist, item), with rank from 1. Catalyst limits groups before the shuffle as well."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy("dist", item))
     return candidates.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -34,9 +46,9 @@ def merge_nn(a: Column | str, b: Column | str, k: int) -> Column:
 
 
 def cross_distances(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """All (query_id, point_id, dist): the queries are a side that the caller has bounded."""
-    q = F.broadcast(queries.select("query_id", F.col("descriptor").alias("_q")))
-    return points.crossJoin(q).select("query_id", "point_id", sq_l2("_q", "descriptor").alias("dist"))
+    """All (query_id, point_id, dist). Queries are broadcast if they're small enough by a count."""
+    q = queries.select("query_id", F.col("descriptor").alias("_q"))
+    return points.crossJoin(F.broadcast(q) if fits(queries) else q).select("query_id", "point_id", sq_l2("_q", "descriptor").alias("dist"))
 
 
 def pair_distances(pairs: DataFrame, a: str, b: str, keep: list[str], engine: str = "arrow") -> DataFrame:
@@ -56,15 +68,14 @@ def pair_distances(pairs: DataFrame, a: str, b: str, keep: list[str], engine: st
 def exact_knn(points: DataFrame, queries: DataFrame, k: int, engine: str = "arrow") -> DataFrame:
     """(query_id, point_id, dist, rank) of each query's k nearest points.
 
-    Up to ``MAX_BROADCAST_ROWS`` queries go to every task and the points stream past them, each batch giving its k best a
+    Up to ``MAX_BROADCAST_BYTES`` of queries go to every task and the points stream past them, each batch giving its k best a
     query; more queries are dealt into blocks. Either way one shuffle by query_id merges the partial lists.
     """
     points, queries = points.select("point_id", "descriptor"), queries.select("query_id", "descriptor")
+    if not fits(queries):
+        return topk(_in_blocks(points, queries, k), k)
     if engine == "sql":
         return topk(cross_distances(points, queries), k)
-    n = queries.count()
-    if n > MAX_BROADCAST_ROWS:
-        return topk(_in_blocks(points, queries, k, n), k)
     asked = queries.toArrow()
     ids, vectors = asked.column("query_id").to_numpy(), matrix(asked.column("descriptor"))
     held = points.sparkSession.sparkContext.broadcast((ids, vectors))
@@ -78,9 +89,9 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, engine: str = "arro
     return topk(points.mapInArrow(kernel, "query_id long, point_id long, dist double"), k)
 
 
-def _in_blocks(points: DataFrame, queries: DataFrame, k: int, n_queries: int) -> DataFrame:
+def _in_blocks(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Partial lists from every pair of a block of points and a block of queries, each of bounded size."""
-    rows, cols = max(1, -(-points.count() // BLOCK_ROWS)), max(1, -(-n_queries // BLOCK_ROWS))
+    rows, cols = (max(1, -(-n * width // BLOCK_BYTES)) for n, width in (extent(points), extent(queries)))
     p = points.withColumn("_b", F.pmod(F.xxhash64("point_id"), F.lit(rows)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(cols)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
@@ -93,24 +104,41 @@ def _in_blocks(points: DataFrame, queries: DataFrame, k: int, n_queries: int) ->
     return p.groupBy("_b", "_q").cogroup(q.groupBy("_b", "_q")).applyInPandas(kernel, "query_id long, point_id long, dist double")
 
 
-def nearest_of(vectors: DataFrame, targets: DataFrame, k: int, engine: str = "arrow") -> DataFrame:
-    """(id, target_id, dist, rank) of each vector's k nearest targets. ``vectors``: id, descriptor; ``targets``: id, descriptor.
+def nearest_of(vectors: DataFrame, targets: DataFrame, k: int, engine: str = "arrow", carry: bool = False) -> DataFrame:
+    """(id, target_id, dist, rank) of each vector's k nearest targets; ``carry`` adds the vector's descriptor.
 
-    Targets up to ``MAX_BROADCAST_ROWS`` go to every task, and no shuffle is needed; more are searched in blocks.
+    ``vectors`` and ``targets``: id, descriptor. Targets up to ``MAX_BROADCAST_BYTES`` go to every task and the vectors
+    stream past them, so that no vector is shuffled; more are searched in blocks.
     """
-    if engine == "arrow" and targets.count() <= MAX_BROADCAST_ROWS:
-        table = targets.select("id", "descriptor").toArrow()
-        held = vectors.sparkSession.sparkContext.broadcast((table.column("id").to_numpy(), matrix(table.column("descriptor"))))
-
-        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, t = held.value
-            for batch in batches:
-                rows, found, dist = nearest(ids, t, matrix(batch.column("descriptor")), k)
-                rank = (np.arange(len(rows)) - np.searchsorted(rows, rows) + 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column("id").to_numpy()[rows]), pa.array(found), pa.array(dist), pa.array(rank)], names=["id", "target_id", "dist", "rank"])
-
-        return vectors.select("id", "descriptor").mapInArrow(kernel, "id long, target_id long, dist double, rank int")
-    points = targets.select(F.col("id").alias("point_id"), "descriptor")
-    queries = vectors.select(F.col("id").alias("query_id"), "descriptor")
-    found = topk(cross_distances(points, queries), k) if engine == "sql" else topk(_in_blocks(points, queries, k, queries.count()), k)
-    return found.select(F.col("query_id").alias("id"), F.col("point_id").alias("target_id"), "dist", "rank")
+    vectors, targets = vectors.select("id", "descriptor"), targets.select("id", "descriptor")
+    kept = ["id", "target_id", "dist", "rank", *(["descriptor"] if carry else [])]
+    if not fits(targets):
+        points, queries = (x.withColumnRenamed("id", name) for x, name in ((targets, "point_id"), (vectors, "query_id")))
+        found = topk(_in_blocks(points, queries, k), k).select(F.col("query_id").alias("id"), F.col("point_id").alias("target_id"), "dist", "rank")
+        return found.join(vectors, "id").select(kept) if carry else found
+    if engine == "sql":
+        # The targets are the broadcast side; a vector's distances to all of them stay in its row, so nothing is shuffled.
+        lists = targets.agg(F.collect_list(F.struct("id", "descriptor")).alias("_targets"))
+        scored = F.transform("_targets", lambda t: F.struct(sq_l2(t["descriptor"], F.col("descriptor")).alias("dist"), t["id"].alias("target_id")))
+        best = vectors.crossJoin(F.broadcast(lists)).select("id", "descriptor", F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("_pos", "_t"))
+        return best.select("id", "_t.target_id", "_t.dist", (F.col("_pos") + 1).alias("rank"), "descriptor").select(kept)
+    table = targets.toArrow()
+    held = vectors.sparkSession.sparkContext.broadcast((table.column("id").to_numpy(), matrix(table.column("descriptor"))))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, t = held.value
+        for batch in batches:
+            yield ranked(batch, *nearest(ids, t, matrix(batch.column("descriptor")), k), kept)
+
+    return vectors.mapInArrow(kernel, RANKED.format("target_id") + (", descriptor array<float>" if carry else ""))
+
+
+RANKED = "id long, {} long, dist double, rank int"
+
+
+def ranked(batch: pa.RecordBatch, rows: np.ndarray, found: np.ndarray, dist: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Rows of ``batch`` (sorted by row and distance) with what was found for them, and with their vectors if those are named."""
+    rank = (np.arange(len(rows)) - np.searchsorted(rows, rows) + 1).astype(np.int32)
+    at = pa.array(rows)
+    columns = [batch.column("id").take(at), pa.array(found), pa.array(dist), pa.array(rank)]
+    return pa.RecordBatch.from_arrays(columns + [batch.column(c).take(at) for c in names[4:]], names=names)

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import matrix, nearest, sq_l2
 from .index import Index
-from .knn import MAX_BROADCAST_ROWS, nearest_of
+from .knn import RANKED, fits, nearest_of, ranked
 
 
-def route_leaf_scan(vectors: DataFrame, index: Index, keep: int, engine: str = "arrow") -> DataFrame:
-    """(id, cluster_id, dist, rank) of each vector's ``keep`` nearest leaves."""
-    return nearest_of(vectors, index.leaves(), keep, engine).withColumnRenamed("target_id", "cluster_id")
+def route_leaf_scan(vectors: DataFrame, index: Index, keep: int, engine: str = "arrow", carry: bool = False) -> DataFrame:
+    """(id, cluster_id, dist, rank) of each vector's ``keep`` nearest leaves; ``carry`` adds its descriptor."""
+    return nearest_of(vectors, index.leaves(), keep, engine, carry).withColumnRenamed("target_id", "cluster_id")
 
 
 class Tree:
@@ -77,35 +77,33 @@ class Tree:
         return out
 
 
-def route_greedy(vectors: DataFrame, index: Index, keep: int, widen: bool = False, engine: str = "arrow") -> DataFrame:
-    """(id, cluster_id, dist, rank): descent to the nearest child at every level, then the ``keep`` nearest leaf children.
+def route_greedy(vectors: DataFrame, index: Index, keep: int, widen: bool = False, engine: str = "arrow", carry: bool = False) -> DataFrame:
+    """(id, cluster_id, dist, rank), and the descriptor with ``carry``: descent to the nearest child at every level, then the ``keep`` nearest leaf children.
 
     ``widen``: where the last node has fewer children, all leaves under the node before it are considered, once; with two
-    levels that node is the root. An index of up to ``MAX_BROADCAST_ROWS`` nodes goes to every task; a larger one is
-    joined level by level.
+    levels that node is the root. An index of up to ``MAX_BROADCAST_BYTES`` goes to every task; a larger one is joined
+    level by level.
     """
-    if engine == "arrow" and index.nodes.count() <= MAX_BROADCAST_ROWS:
+    kept = ["id", "cluster_id", "dist", "rank", *(["descriptor"] if carry else [])]
+    if engine == "arrow" and fits(index.nodes):
         held = vectors.sparkSession.sparkContext.broadcast(Tree(index))
 
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, ids, dist = held.value.descend(matrix(batch.column("descriptor")), keep, widen)
                 order = np.lexsort((ids, dist, rows))
-                rows, ids, dist = rows[order], ids[order], dist[order]
-                rank = (np.arange(len(rows)) - np.searchsorted(rows, rows) + 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column("id").to_numpy()[rows]), pa.array(ids), pa.array(dist), pa.array(rank)], names=["id", "cluster_id", "dist", "rank"])
+                yield ranked(batch, rows[order], ids[order], dist[order], kept)
 
-        return vectors.select("id", "descriptor").mapInArrow(kernel, "id long, cluster_id long, dist double, rank int")
-    return _greedy_joins(vectors.select("id", "descriptor"), index, keep, widen)
+        return vectors.select("id", "descriptor").mapInArrow(kernel, RANKED.format("cluster_id") + (", descriptor array<float>" if carry else ""))
+    return _greedy_joins(vectors.select("id", "descriptor"), index, keep, widen, engine).select(kept)
 
 
-def _greedy_joins(vectors: DataFrame, index: Index, keep: int, widen: bool) -> DataFrame:
+def _greedy_joins(vectors: DataFrame, index: Index, keep: int, widen: bool, engine: str) -> DataFrame:
     """The same descent as one join a level: vectors at a node with the node's children."""
     top = index.height - 1
     if top == 0:
-        return route_leaf_scan(vectors, index, keep, "sql")
-    first = nearest_of(vectors, index.level(top), 1, "sql").select("id", F.col("target_id").alias("_at"))
-    now = vectors.join(first, "id").withColumn("_before", F.lit(None).cast("long"))
+        return route_leaf_scan(vectors, index, keep, engine, True)
+    now = nearest_of(vectors, index.level(top), 1, engine, True).select("id", "descriptor", F.col("target_id").alias("_at"), F.lit(None).cast("long").alias("_before"))
     for level in range(top, 1, -1):
         lists = index.children(level).withColumnRenamed("parent_id", "_at")
         best = F.array_min(F.transform("children", lambda c: F.struct(sq_l2(c["descriptor"], F.col("descriptor")).alias("dist"), c["id"].alias("id"))))
@@ -123,13 +121,13 @@ def _greedy_joins(vectors: DataFrame, index: Index, keep: int, widen: bool) -> D
         now = now.withColumn("children", F.when(F.size("children") < keep, F.col("_wide")).otherwise(F.col("children")))
     scored = F.transform("children", lambda c: F.struct(sq_l2(c["descriptor"], F.col("descriptor")).alias("dist"), c["id"].alias("cluster_id")))
     chosen = F.slice(F.array_sort(scored), 1, keep)
-    return now.select("id", F.posexplode(chosen).alias("_pos", "_c")).select("id", "_c.cluster_id", "_c.dist", (F.col("_pos") + 1).alias("rank"))
+    return now.select("id", "descriptor", F.posexplode(chosen).alias("_pos", "_c")).select("id", "_c.cluster_id", "_c.dist", (F.col("_pos") + 1).alias("rank"), "descriptor")
 
 
 def assign(points: DataFrame, index: Index, a: int = 1, engine: str = "arrow") -> DataFrame:
-    """(point_id, descriptor, cluster_id): every point in up to ``a`` clusters, by descent."""
-    routed = route_greedy(points.select(F.col("point_id").alias("id"), "descriptor"), index, a, False, engine)
-    return points.select("point_id", "descriptor").join(routed.select(F.col("id").alias("point_id"), "cluster_id"), "point_id")
+    """(point_id, descriptor, cluster_id): every point in up to ``a`` clusters, by descent. Points aren't shuffled."""
+    routed = route_greedy(points.select(F.col("point_id").alias("id"), "descriptor"), index, a, False, engine, True)
+    return routed.select(F.col("id").alias("point_id"), "descriptor", "cluster_id")
 
 
 def random_cluster(point_id, clusters: int):

@@ -1,10 +1,11 @@
 """The registered queries of the search engine, and the same results as DuckDB SQL.
 
-Fixture: ``embeddings`` are the points, every fiftieth is a query. An index uses 264 bytes a record and reads of 8192.
+Fixture: ``embeddings`` are the points; those whose id is divisible by 20 are the queries. An index uses 264 bytes a record and reads of 8192.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import quantize_u8, sq_l2
 from ..operators.evaluate import score, score_lines, truth_of
-from ..operators.index import Index, build_index, find_children, find_parents, paths, sizes
+from ..operators.index import Index, build_index, find_children, find_parents, paths, sizes, visits
 from ..operators.knn import collect_nn, cross_distances, exact_knn, merge_nn, topk
 from ..operators.route import assign, assign_random, route_greedy, route_leaf_scan, unwritten_leaders
 from ..operators.sampling import sample_leaves, sample_nodes
@@ -32,7 +33,7 @@ def points_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries_of(points: DataFrame) -> DataFrame:
-    return points.where("point_id % 50 = 0").select(F.expr("point_id div 50").alias("query_id"), "descriptor")
+    return points.where("point_id % 20 = 0").select(F.expr("point_id div 20").alias("query_id"), "descriptor")
 
 
 def _index(points: DataFrame, height: int = 2) -> Index:
@@ -157,10 +158,10 @@ def cluster_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unwritten_leaders_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaders that get no point if only the first tenth of the points is assigned."""
+    """Leaders to whose cluster none of the queries belongs, the queries being assigned like points."""
     points = points_of(spark, sf_dir)
-    index, n = _index(points), points.count()
-    return unwritten_leaders(index, assign(points.where(F.col("point_id") < n // 10), index, 1))
+    index = _index(points)
+    return unwritten_leaders(index, assign(queries_of(points).withColumnRenamed("query_id", "point_id"), index, 1))
 
 
 def index_knn_leaf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,10 +183,10 @@ def index_knn_redundant_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_knn_keep_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over a tenth of the points, one cluster a query: queries without candidates stay."""
+    """One cluster a query: queries without candidates stay."""
     points = points_of(spark, sf_dir)
-    index, n = _index(points), points.count()
-    found = index_knn(assign(points.where(F.col("point_id") < n // 10), index, 1), routes_of(queries_of(points), index, 1), K, True)
+    index = _index(points, 3)
+    found = index_knn(assign(points, index, 1), routes_of(queries_of(points), index, 1), K, True)
     return found.select("query_id", F.coalesce("point_id", F.lit(-1)).alias("point_id"), F.coalesce("dist", F.lit(-1.0)).alias("dist"), F.coalesce("rank", F.lit(0)).alias("rank"))
 
 
@@ -236,9 +237,9 @@ def stream_exact_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_index_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, out = points_of(spark, sf_dir), new_path(spark, "stream")
-    index = _index(points)
-    assigned = written(assign(points, index, 1), "assigned")
-    stream_index(_stream(spark, sf_dir), assigned, index, B, K, out, new_path(spark, "stream-checkpoint")).awaitTermination()
+    index, path = _index(points), new_path(spark, "clusters")
+    write_clusters(assign(points, index, 1), path)
+    stream_index(_stream(spark, sf_dir), path, index, B, K, out, new_path(spark, "stream-checkpoint")).awaitTermination()
     return spark.read.parquet(out).select("query_id", "point_id", "dist", "rank")
 
 
@@ -250,6 +251,91 @@ def vecs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_vecs(spark, path).select("point_id", F.size("descriptor").cast("long").alias("dim"), total.alias("total"))
 
 
+def bvecs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points spread over the bytes' range and beyond, written as bvecs files and read again."""
+    path = new_path(spark, "vecs") + "/base.bvecs"
+    scaled = points_of(spark, sf_dir).select("point_id", quantize_u8(F.transform("descriptor", lambda x: (x * F.lit(1000.0).cast("float")))).alias("descriptor"))
+    write_vecs(scaled, path, "bvecs")
+    return read_vecs(spark, path).select("point_id", F.posexplode("descriptor").alias("i", "value")).select("point_id", "i", F.col("value").cast("int").alias("value"))
+
+
+def truth_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact neighbours written as ivecs files and read again."""
+    path = new_path(spark, "vecs") + "/truth.ivecs"
+    write_vecs(truth_of(exact_knn_scan(spark, sf_dir)).select(F.col("query_id").cast("int").alias("query_id"), "neighbours"), path, "ivecs")
+    ids = read_vecs(spark, path).select("query_id", F.posexplode("neighbours").alias("pos", "point_id"))
+    return ids.select(F.col("query_id").cast("long").alias("query_id"), (F.col("pos") + 1).alias("rank"), F.col("point_id").cast("long").alias("point_id"))
+
+
+def dimension_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a vector file of another dimension than asked for is refused."""
+    points, path = points_of(spark, sf_dir), new_path(spark, "vecs") + "/base.fvecs"
+    write_vecs(points, path, "fvecs")
+    dim = points.select(F.size("descriptor").alias("dim")).first()["dim"]
+    return spark.createDataFrame([(d - dim, _refused(lambda: read_vecs(spark, path, dim=d).count())) for d in (dim, dim + 1)], "more int, refused boolean")
+
+
+def _refused(do: Callable[[], object]) -> bool:
+    try:
+        do()
+    except Exception as e:
+        if re.search(r"(?i)already exists|of dimension", str(e)):
+            return True
+        raise
+    return False
+
+
+def target_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a cluster table is refused where one is already."""
+    clusters, path = assign_random(points_of(spark, sf_dir), 4), new_path(spark, "clusters")
+    return spark.createDataFrame([(i, _refused(lambda: write_clusters(clusters, path))) for i in (1, 2)], "attempt int, refused boolean")
+
+
+def index_saved_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and their children, of an index that was saved and loaded again."""
+    path = new_path(spark, "index")
+    _index(points_of(spark, sf_dir), 3).save(path)
+    index = Index.load(spark, path)
+    ties = index.edges.groupBy((F.col("level") + 1).alias("level"), F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
+    return index.nodes.select("level", "node_id").join(ties, ["level", "node_id"], "left").select("level", "node_id", F.coalesce("n", F.lit(0)).alias("n_children"))
+
+
+def index_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visits(_index(points_of(spark, sf_dir), 3), 0)
+
+
+def stream_rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of a stream dealt round to three tasks."""
+    out = new_path(spark, "stream")
+    stream_exact(_stream(spark, sf_dir), points_of(spark, sf_dir), K, out, new_path(spark, "stream-checkpoint"), partitions=3).awaitTermination()
+    return spark.read.parquet(out).select("query_id", "point_id", "dist", "rank")
+
+
+def _job(spark: SparkSession, sf_dir: str, mode: str, method: str, *more: str) -> DataFrame:
+    """The score lines of a whole job from its arguments, with 0 in the place of the latency."""
+    from ..job import arguments, run
+
+    at, points = new_path(spark, "job"), points_of(spark, sf_dir)
+    points.write.parquet(f"{at}/base")
+    queries_of(points).withColumnRenamed("query_id", "point_id").write.parquet(f"{at}/query")
+    truth_of(exact_knn(points, queries_of(points), 100)).write.parquet(f"{at}/truth")
+    paths_of = [x for name in ("base", "query", "truth") for x in (f"--{name}", f"{at}/{name}")]
+    run(spark, arguments([mode, "--method", method, *paths_of, "--output", f"{at}/scores", "--k", str(K), *[m.format(at=at) for m in more]]))
+    return spark.read.text(f"{at}/scores").select(F.regexp_replace("value", r"^(\d+);\d+;", "$1;0;").alias("value"))
+
+
+def job_batch_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _job(spark, sf_dir, "batch", "scan")
+
+
+def job_batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _job(spark, sf_dir, "batch", "index")
+
+
+def job_stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _job(spark, sf_dir, "stream", "index", "--recluster", "true", "--clusters", "{at}/clusters", "--index", "{at}/index", "--routing", "leaf_scan")
+
+
 def squared_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance to the first point, as a Column expression."""
     points = points_of(spark, sf_dir)
@@ -276,6 +362,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         f.__name__: f
         for f in (pairwise_distance, exact_knn_sql, knn_collected, knn_merged, leaf_sample, node_sample, index_nodes_by_level, paths_to_leaves, route_leaf_scan_b, route_greedy_widen, route_greedy_joins, assign_a1, assign_a3, random_clusters)
         + (cluster_sizes, cluster_scan, index_knn_leaf_scan, index_knn_greedy, index_knn_redundant_distinct, index_knn_keep_empty, hit_at_k, recall_at_k, score_line, reduction_prefix, stream_exact_knn, stream_index_knn, vecs_round_trip, squared_norm, topk_by_cluster)
+        + (bvecs_round_trip, truth_round_trip, dimension_check, target_check, index_saved_nodes, index_visits, stream_rebalanced, job_batch_scan, job_batch_index, job_stream_index)
     },
 }
 
@@ -301,7 +388,7 @@ def _nearest(name: str, left: str, right: str, k: int) -> str:
     return f"{name} AS (SELECT id, target, dist, rank FROM (SELECT l.id, r.id AS target, {_dist('l.d', 'r.d')} AS dist, row_number() OVER (PARTITION BY l.id ORDER BY {_dist('l.d', 'r.d')}, r.id) AS rank FROM {left} l, {right} r) WHERE rank <= {k})"
 
 
-_BASE = "p AS (SELECT vec_id AS id, embedding AS d FROM embeddings), q AS (SELECT id // 50 AS id, d FROM p WHERE id % 50 = 0), n AS (SELECT count(*) AS n FROM p)"
+_BASE = "p AS (SELECT vec_id AS id, embedding AS d FROM embeddings), q AS (SELECT id // 20 AS id, d FROM p WHERE id % 20 = 0), n AS (SELECT count(*) AS n FROM p)"
 _LEAVES = _sample("l0", "p", "ceil((SELECT n FROM n) / 31e0) / (SELECT n FROM n)", 0)
 
 
@@ -346,21 +433,29 @@ _RESULT = " SELECT query_id, point_id, dist, CAST(rank AS INT) AS rank FROM foun
 _ROUTED = " SELECT id AS query_id, cluster_id, dist, CAST(rank AS INT) AS rank FROM r"
 _PRUNED = f"WITH {_tree(2)}, {_greedy('a', 'p', 1, 2)}, {_leaf_routes()}, {_search('a', 'r')}"
 _GREEDY_FOUND = f"WITH {_tree(2)}, {_greedy('a', 'p', 1, 2)}, {_greedy('r', 'q', B, 2, True)}, {_search('a', 'r')}" + _RESULT
-_TENTH = "t AS (SELECT id, d FROM p WHERE id < (SELECT n FROM n) // 10)"
-_SCORED = (
-    _PRUNED
-    + f""", {_nearest('tr', 'q', 'p', 100)},
+_SCORES = (
+    f""", {_nearest('tr', 'q', 'p', 100)},
 up AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS i FROM found),
 dn AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id DESC) AS i FROM found),
 hit AS (SELECT up.query_id, up.i, avg(CASE WHEN up.point_id = tr.target OR dn.point_id = tr.target THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY up.query_id ORDER BY up.i ROWS UNBOUNDED PRECEDING) AS hit FROM up JOIN dn ON dn.query_id = up.query_id AND dn.i = up.i LEFT JOIN tr ON tr.id = up.query_id AND tr.rank = up.i),
 rec AS (SELECT o.query_id, o.i, (SELECT count(*) FROM dn JOIN tr ON tr.id = dn.query_id AND tr.target = dn.point_id WHERE dn.query_id = o.query_id AND dn.i <= o.i AND tr.rank <= o.i) / CAST(o.i AS DOUBLE) AS recall FROM dn o)"""
 )
-_LINE = "SELECT {t}.query_id, string_agg(format('{{:.2f}}', round({v}, 2)), ';' ORDER BY i) || repeat(';#I/T', 12 - CAST(count(*) AS INT)) AS s FROM {t} GROUP BY query_id"
+_SCORED = _PRUNED + _SCORES
+_SCAN_FOUND = f"WITH {_BASE}, {_nearest('x', 'q', 'p', K)}, found AS (SELECT id AS query_id, target AS point_id, dist, rank FROM x)"
+
+
+def _lines(scored: str, k: int) -> str:
+    """Score lines with latency 0, padded to k places."""
+    part = f"SELECT {{t}}.query_id, string_agg(format('{{{{:.2f}}}}', round({{v}}, 2)), ';' ORDER BY i) || repeat(';#I/T', {k} - CAST(count(*) AS INT)) AS s FROM {{t}} GROUP BY query_id"
+    return scored + f" SELECT CAST(h.query_id AS VARCHAR) || ';0;' || h.s || ';' || c.s AS value FROM ({part.format(t='hit', v='hit')}) h JOIN ({part.format(t='rec', v='recall')}) c ON c.query_id = h.query_id"
+
+
+_CODED = "SELECT vec_id AS point_id, CAST(t.i - 1 AS INT) AS i, CAST(((CAST(trunc(embedding[t.i] * CAST(1000 AS FLOAT)) AS INT) % 256) + 256) % 256 AS INT) AS value FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)"
 
 ORACLE_SQL: dict[str, str] = {
     "pairwise_distance": f"WITH {_BASE} SELECT q.id AS query_id, p.id AS point_id, {_dist('q.d', 'p.d')} AS dist FROM q, p",
     "squared_norm": f"WITH {_BASE} SELECT p.id AS point_id, {_dist('o.d', 'p.d')} AS dist FROM p, (SELECT d FROM p WHERE id = 0) o",
-    **dict.fromkeys(("exact_knn", "exact_knn_sql", "knn_collected", "knn_merged", "stream_exact_knn"), _SCAN),
+    **dict.fromkeys(("exact_knn", "exact_knn_sql", "knn_collected", "knn_merged", "stream_exact_knn", "stream_rebalanced"), _SCAN),
     "leaf_sample": f"WITH {_BASE}, {_LEAVES} SELECT id AS node_id FROM l0",
     "node_sample": f"WITH {_tree(2)} SELECT id AS node_id FROM l1",
     "find_parents": f"WITH {_tree(2)} SELECT target AS parent_id, id AS child_id FROM e0",
@@ -375,16 +470,23 @@ ORACLE_SQL: dict[str, str] = {
     "random_clusters": f"WITH {_BASE} SELECT id AS point_id, ((id % 2147483648) * 2654435761 % 4294967296) // 65536 % 16 + 1 AS cluster_id FROM p",
     "cluster_sizes": f"WITH {_tree(2)}, {_greedy('a', 'p', 1, 2)} SELECT cluster_id, count(*) AS points FROM a GROUP BY cluster_id",
     "cluster_scan": f"WITH {_tree(2)}, {_greedy('a', 'p', 1, 2)} SELECT cluster_id, id AS point_id FROM a WHERE cluster_id = (SELECT cluster_id FROM a GROUP BY cluster_id ORDER BY count(*) DESC, cluster_id LIMIT 1)",
-    "unwritten_leaders": f"WITH {_tree(2)}, {_TENTH}, {_greedy('a', 't', 1, 2)} SELECT id AS node_id FROM l0 WHERE id NOT IN (SELECT cluster_id FROM a)",
+    "unwritten_leaders": f"WITH {_tree(2)}, {_greedy('a', 'q', 1, 2)} SELECT id AS node_id FROM l0 WHERE id NOT IN (SELECT cluster_id FROM a)",
     "topk_by_cluster": f"WITH {_tree(2)}, {_greedy('a', 'p', 1, 2)}, z AS (SELECT a.cluster_id, a.id AS point_id, {_dist('l0.d', 'p.d')} AS dist FROM a JOIN p ON p.id = a.id JOIN l0 ON l0.id = a.cluster_id) SELECT cluster_id, point_id, dist, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY dist, point_id) AS rank FROM z) WHERE rank <= 3",
     "index_knn_leaf_scan": _PRUNED + _RESULT,
     **dict.fromkeys(("index_knn_greedy", "stream_index_knn"), _GREEDY_FOUND),
     "index_knn_redundant_distinct": f"WITH {_tree(2)}, {_greedy('a', 'p', 3, 2)}, {_leaf_routes()}, {_search('a', 'r')}" + _RESULT,
-    "index_knn_keep_empty": f"WITH {_tree(2)}, {_TENTH}, {_greedy('a', 't', 1, 2)}, {_leaf_routes(1)}, {_search('a', 'r')} SELECT q.id AS query_id, coalesce(point_id, -1) AS point_id, coalesce(dist, -1e0) AS dist, CAST(coalesce(rank, 0) AS INT) AS rank FROM q LEFT JOIN found ON query_id = q.id",
+    "index_knn_keep_empty": f"WITH {_tree(3)}, {_greedy('a', 'p', 1, 3)}, {_leaf_routes(1)}, {_search('a', 'r')} SELECT q.id AS query_id, coalesce(point_id, -1) AS point_id, coalesce(dist, -1e0) AS dist, CAST(coalesce(rank, 0) AS INT) AS rank FROM q LEFT JOIN found ON query_id = q.id",
     "hit_at_k": _SCORED + " SELECT query_id, CAST(i AS INT) AS i, hit FROM hit",
     "recall_at_k": _SCORED + " SELECT query_id, CAST(i AS INT) AS i, recall FROM rec",
-    "score_line": _SCORED + f" SELECT CAST(h.query_id AS VARCHAR) || ';0;' || h.s || ';' || c.s AS value FROM ({_LINE.format(t='hit', v='hit')}) h JOIN ({_LINE.format(t='rec', v='recall')}) c ON c.query_id = h.query_id",
+    "score_line": _lines(_SCORED, 12),
+    **dict.fromkeys(("job_batch_index", "job_stream_index"), _lines(_SCORED, K)),
+    "job_batch_scan": _lines(_SCAN_FOUND + _SCORES, K),
     "reduction_prefix": f"WITH {_BASE} SELECT id AS point_id FROM p WHERE id < (SELECT n FROM n) // 3",
-    "quantize_u8": "SELECT vec_id AS point_id, CAST(t.i - 1 AS INT) AS i, CAST(((CAST(trunc(embedding[t.i] * CAST(1000 AS FLOAT)) AS INT) % 256) + 256) % 256 AS INT) AS value FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)",
+    **dict.fromkeys(("quantize_u8", "bvecs_round_trip"), _CODED),
+    "truth_round_trip": f"WITH {_BASE}, {_nearest('x', 'q', 'p', K)} SELECT id AS query_id, CAST(rank AS INT) AS rank, target AS point_id FROM x",
+    "dimension_check": "SELECT CAST(more AS INT) AS more, more > 0 AS refused FROM range(2) t(more)",
+    "target_check": "SELECT CAST(attempt AS INT) AS attempt, attempt > 1 AS refused FROM range(1, 3) t(attempt)",
+    "index_saved_nodes": f"WITH {_tree(3)} SELECT CAST(0 AS INT) AS level, id AS node_id, CAST(0 AS BIGINT) AS n_children FROM l0 UNION ALL SELECT 1, l1.id, (SELECT count(*) FROM e0 WHERE e0.target = l1.id) FROM l1 UNION ALL SELECT 2, l2.id, (SELECT count(*) FROM e1 WHERE e1.target = l2.id) FROM l2",
+    "index_visits": f"WITH {_tree(3)} SELECT e0.id AS node_id FROM e0 JOIN e1 ON e1.id = e0.target",
     "vecs_round_trip": "SELECT vec_id AS point_id, CAST(len(embedding) AS BIGINT) AS dim, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS total FROM embeddings",
 }

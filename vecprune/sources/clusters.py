@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import quantize_u8
 
-BUCKETS = 16
+#: Buckets of a table if the writer doesn't say; a job makes one for so many points.
+BUCKETS, POINTS_OF_BUCKET = 16, 4_000_000
 
 
 def write_clusters(assignments: DataFrame, path: str, buckets: int = BUCKETS, u8: bool = False) -> None:

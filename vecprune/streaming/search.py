@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import Index
 from ..operators.knn import exact_knn
-from ..operators.search import index_knn, routes_of
+from ..operators.search import index_knn, index_knn_files, routes_of
 
 log = logging.getLogger(__name__)
 
@@ -40,5 +40,19 @@ def stream_exact(queries: DataFrame, points: DataFrame, k: int, out: str, checkp
     return search_stream(queries, lambda q: exact_knn(points, q, k, engine), out, checkpoint, **options)
 
 
-def stream_index(queries: DataFrame, assignments: DataFrame, index: Index, b: int, k: int, out: str, checkpoint: str, routing: str = "widen", keep_empty: bool = True, **options) -> StreamingQuery:
-    return search_stream(queries, lambda q: index_knn(assignments, routes_of(q, index, b, routing), k, keep_empty), out, checkpoint, **options)
+def stream_index(queries: DataFrame, assignments: DataFrame | str, index: Index, b: int, k: int, out: str, checkpoint: str, routing: str = "widen", keep_empty: bool = True, **options) -> StreamingQuery:
+    """``assignments``: a table, or the path of a cluster table, of which a batch opens only the files that it needs."""
+
+    def search(q: DataFrame) -> DataFrame:
+        routes = routes_of(q, index, b, routing)
+        if isinstance(assignments, str):
+            return index_knn_files(q.sparkSession, assignments, routes, k, keep_empty)
+        return index_knn(assignments, routes, k, keep_empty)
+
+    return search_stream(queries, search, out, checkpoint, **options)
+
+
+def latencies(found: DataFrame, out: str) -> DataFrame:
+    """(query_id, latency_ms) of every query that was answered under ``out``: its own batch's."""
+    of_batch = found.sparkSession.read.parquet(f"{out}-latency").select(F.col("id").alias("batch"), "latency_ms")
+    return found.select("query_id", F.col("batch").cast("long").alias("batch")).distinct().join(F.broadcast(of_batch), "batch").groupBy("query_id").agg(F.max("latency_ms").alias("latency_ms"))
