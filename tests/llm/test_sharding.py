@@ -61,7 +61,7 @@ def test_a_shard_more_moves_few(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     a = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, 16).collect()}
     b = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, 17).collect()}
-    assert sum(a[i] != b[i] for i in a) < 0.3 * len(a)
+    assert sum(a[i] != b[i] for i in a) < 0.12 * len(a)  # 1 / 17 at least
 
 
 def test_cases(spark):
@@ -73,3 +73,19 @@ def test_cases(spark):
     assert sharding.shard_documents(docs.where("doc_id > 5")).count() == 0
     with pytest.raises(ValueError):
         sharding.ring(16, 5000, 0)
+
+
+def test_finer_groups_change_nothing(spark):
+    """Rows keep their order in a cell, and so their shards, however many groups a cell is ranked in."""
+    docs = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    key = lambda r: (r["doc_id"] or 0, r["text_crc32"], r["shard"], r["slot"])
+    first = sorted(map(key, sharding.shard_documents(docs).collect()))
+    assert len(first) == 30_000
+    for rows_per_group in (1, 500):
+        assert sorted(map(key, sharding.shard_documents(docs, rows_per_group=rows_per_group).collect())) == first
+
+
+def test_null_keys_spread(spark):
+    docs = spark.range(5_000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    sizes = Counter(r["shard"] for r in sharding.shard_documents(docs).collect())
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 1

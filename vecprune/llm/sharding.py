@@ -8,7 +8,7 @@ virtual node of a shard that isn't full, round by round, until all have a place.
 What the driver handles is one count per cell, whatever the size of the input. Ranks inside a cell come from windows
 over (cell, sub-cell), and there are enough sub-cells for ``rows_per_group`` rows in each.
 
-Defined cases: null keys share one cell; null texts have size 1 and no checksum; repeated rows are ranked in any order
+Defined cases: a null key takes its place from the tie columns, so null keys spread over the ring; null texts have size 1 and no checksum; repeated rows are ranked in any order
 and get different slots; an empty table gives an empty result; other columns are kept as they are, but columns named
 ``shard`` or ``slot`` are replaced.
 """
@@ -72,15 +72,18 @@ def place(counts: dict[int, int], n_shards: int, vnodes: int, seed: int) -> list
 def assign_shards(docs: DataFrame, key: Column, tie: list[Column] | None = None, n_shards: int = 16, vnodes: int = 128, seed: int = 17, rows_per_group: int = 20_000) -> DataFrame:
     """``docs`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard); counts differ by one at most."""
     spark = docs.sparkSession
-    hashed = docs.select(F.struct("*").alias("_row"), F.xxhash64(key).alias("_h"), *[t.alias(f"_t{i}") for i, t in enumerate(tie or [])])
+    h = F.when(key.isNull(), F.xxhash64(F.lit(seed), *(tie or []))).otherwise(F.xxhash64(key))
+    hashed = docs.select(F.struct("*").alias("_row"), h.alias("_h"), *[t.alias(f"_t{i}") for i, t in enumerate(tie or [])])
     hashed = hashed.withColumn("_cell", F.shiftrightunsigned("_h", 64 - CELL_BITS).cast("int"))
-    cells = {r["_cell"]: r["n"] for r in docs.select(F.shiftrightunsigned(F.xxhash64(key), 64 - CELL_BITS).cast("int").alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).collect()}
-    parts = max(1, sum(cells.values()) // (CELLS * rows_per_group))
-    hashed = hashed.withColumn("_sub", (F.shiftrightunsigned("_h", 20) % parts).cast("int"))
+    cells = {r["_cell"]: r["n"] for r in docs.select(F.shiftrightunsigned(h, 64 - CELL_BITS).cast("int").alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).collect()}
+    # Sub-cells are the hash's next bits, so rows have the same order in a cell however many there are.
+    bits = min(20, max(0, sum(cells.values()) // (CELLS * rows_per_group)).bit_length())
+    sub_of = lambda x: F.shiftrightunsigned(x, 64 - CELL_BITS - bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    hashed = hashed.withColumn("_sub", sub_of(F.col("_h")))
     in_cell = F.row_number().over(Window.partitionBy("_cell", "_sub").orderBy("_h", *[f"_t{i}" for i in range(len(tie or []))])) - 1
     ranked = hashed.withColumn("_rank", in_cell.cast("long"))
-    if parts > 1:
-        subs = docs.select(F.xxhash64(key).alias("_h")).select(F.shiftrightunsigned("_h", 64 - CELL_BITS).cast("int").alias("_cell"), (F.shiftrightunsigned("_h", 20) % parts).cast("int").alias("_sub")).groupBy("_cell", "_sub").agg(F.count("*").alias("_n"))
+    if bits:
+        subs = docs.select(h.alias("_h")).select(F.shiftrightunsigned("_h", 64 - CELL_BITS).cast("int").alias("_cell"), sub_of(F.col("_h")).alias("_sub")).groupBy("_cell", "_sub").agg(F.count("*").alias("_n"))
         before = F.coalesce(F.sum("_n").over(Window.partitionBy("_cell").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         subs = subs.select("_cell", "_sub", before.alias("_before"))
         ranked = ranked.join(subs, ["_cell", "_sub"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
