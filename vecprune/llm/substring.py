@@ -15,8 +15,8 @@ many surroundings) have their windows dealt one by one, by their own hash, again
 
 Defined cases: null and empty texts have no words; texts of under ``WINDOW`` words keep all of them; a null doc_id comes
 before all others; rows of one doc_id are told apart by their place in the table; repeated rows repeat the first of them;
-long texts are processed whole; an empty table gives an empty result; other columns are ignored. ``docs`` must be a table
-that reads the same way each time.
+long texts are processed whole; an empty table gives an empty result; other columns are ignored. Rows get their numbers once,
+in a table in the shared folder, so that losing or gaining executors between jobs changes nothing.
 """
 
 from __future__ import annotations
@@ -312,15 +312,14 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def intervals(docs: DataFrame) -> DataFrame:
     """(_row, start, stop): stretches of words covered by repeated windows. ``docs``: doc_id, _row, text."""
     spark = docs.sparkSession
-    found = _runs_of(docs).repartition("anchor")
+    # By anchor and content, so that an anchor of very many contents is in many tasks; rows of known intervals have an anchor of their own.
     same = Window.partitionBy("anchor", "content").orderBy("doc_id", "_row", "start")
-    whole = Window.partitionBy("anchor")
-    ranked = found.withColumn("n", F.row_number().over(same))
-    ranked = ranked.withColumn("contents", F.sum(F.when((F.col("n") == 1) & F.col("content").isNotNull(), 1).otherwise(0)).over(whole))
     settled = F.col("content").isNull() | (F.col("n") > 1)
-    ranked = written(ranked.select("anchor", "doc_id", "_row", "start", "stop", "contents", settled.alias("settled")).where("settled OR contents > 1"), "runs")
+    ranked = _runs_of(docs).withColumn("n", F.row_number().over(same)).select("anchor", "doc_id", "_row", "start", "stop", settled.alias("settled"))
+    ranked = written(ranked, "runs")
     known = ranked.where("settled").select("_row", "start", "stop")
-    wanted = ranked.where("NOT settled").groupBy("_row").agg(F.collect_list(F.struct("anchor", "start", "stop", (F.col("contents") > HOT).alias("hot"))).alias("runs"))
+    several = ranked.where("NOT settled").groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1")
+    wanted = ranked.where("NOT settled").join(several, "anchor").groupBy("_row").agg(F.collect_list(F.struct("anchor", "start", "stop", (F.col("contents") > HOT).alias("hot"))).alias("runs"))
     wanted = written(wanted, "wanted-runs")
     segments = written(_segments(docs, wanted), "segments")
     known = known.union(segments.where("words IS NULL").select("_row", "start", "stop"))
@@ -343,7 +342,7 @@ def _covered(spans: list[dict] | None, n: int) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    rows = _numbered(docs)
+    rows = written(_numbered(docs), "numbered")
     spans = written(intervals(rows).groupBy("_row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     return rows.join(spans, "_row", "left").select("doc_id", "text", "spans")
 
