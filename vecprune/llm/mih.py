@@ -4,16 +4,22 @@ Fitting, on a bounded sample: iterative quantisation learns rotations of the cen
 bits, one rotation for as many bits as the vectors have dimensions; and the sample's pairs tell, for each distance, the
 Hamming radius within which ``HOLD`` of the pairs that near lie.
 
-Searching: rows are dealt into blocks, queries into blocks, and each pair of blocks is searched on its own, in bounded
-memory. A block of rows has one index per code substring. A query probes, in every index, all substrings within the
-pigeonhole radius; every code within the Hamming radius r has a substring within r // m of the query's, so all of them are
-found. Those within r are ranked by the exact distance of the original vectors in double precision. The radius starts at
-that of the sample's near pairs and then widens to what the k-th best distance found asks for; without k neighbours it
-goes on to the whole code length. Blocks' best k are merged per query: k rows a block and query.
-
-Defined cases: vectors that are null, zero, of another length than the fitted one, or with null or non-finite components
-take no part; ties go to the smaller id; repeated vectors are different candidates; fewer candidates than k give fewer
-rows; an empty table gives an empty result; other columns are ignored.
+Searching: queries are dealt into chunks of bounded size; each chunk goes to every task, and the rows stream past it, so that
+rows are never shuffled or copied. A task takes its rows in blocks, and a block has one index per code substring. A query
+probes, in every index, all substrings within the pigeonhole radius; every code within the Hamming radius r has a substring
+within r // m of the query's, so all of them are found. Those within r are ranked by the exact distance of the original
+vectors in double precision. The radius starts at that of the sample's near pairs and then widens to what the k-th best
+distance so far asks for, over all blocks of the task; without k neighbours it goes on to the whole code length. Each task
+gives k rows a query, which one shuffle by query merges.
+
+How much is probed depends on the vectors: where neighbours' codes differ in few bits, a few buckets; where vectors have no
+structure (neighbours at two thirds of the typical distance), neighbours' codes differ in a third of their bits, and no
+probing within that radius leaves out much. ``probed`` of an index counts it.
+
+Defined cases: vectors that are null, zero, or with null or non-finite components take no part; vectors of different
+dimensions are searched apart, each among its own, as there's no distance between them; ties go to the smaller id; repeated
+vectors are different candidates; fewer candidates than k give fewer rows; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +27,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 FIT_ROWS, HOLD = 3000, 0.97
-LEAST_BITS, SUB = 128, 8
-_POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+LEAST_BITS, SUB = 128, 16
+BLOCK_ROWS, CHUNK_BYTES = 25_000, 16 << 20
 
 
 class Codes:
@@ -49,15 +57,16 @@ class Codes:
         self._radii(sample[: min(len(sample), 2000)])
 
     def code(self, x: np.ndarray) -> np.ndarray:
-        """Codes as bytes, one substring each."""
+        """Codes as 16-bit numbers, one substring each."""
         signs = np.concatenate([(x - self.mean) @ r >= 0 for r in self.rotations], axis=1)
-        return np.packbits(signs, axis=1)
+        signs = np.pad(signs, ((0, 0), (0, self.bits - signs.shape[1])))
+        return np.packbits(signs, axis=1).view(np.uint16)
 
     def _radii(self, x: np.ndarray) -> None:
         codes, far, near = self.code(x), [], []
         for i in range(0, len(x), 250):
             d = _distances(x[i : i + 250], x)
-            h = _POP[codes[i : i + 250, None, :] ^ codes[None, :, :]].sum(axis=2)
+            h = np.bitwise_count(codes[i : i + 250, None, :] ^ codes[None, :, :]).sum(axis=2, dtype=np.int64)
             apart = np.arange(i, i + len(d))[:, None] != np.arange(len(x))[None, :]
             far.append(d[apart])
             near.append(h[apart])
@@ -67,7 +76,7 @@ class Codes:
             return
         order = np.argsort(d, kind="stable")
         d, h = d[order], h[order]
-        cuts = np.unique(np.minimum(len(d), np.concatenate([[100, 400, 1600], np.linspace(6400, len(d), 40)]).astype(int)))
+        cuts = np.unique(np.append(np.geomspace(100, len(d), 2 + int(np.log(len(d) / 100 + 1) / np.log(1.25))), len(d)).astype(int).clip(1, len(d)))
         self.edges, radius, at = [], [], 0
         for c in cuts:
             self.edges.append(d[c - 1])
@@ -89,13 +98,11 @@ class Index:
     """One index per substring over a block of rows, in compressed form."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: Codes):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.codes = ids[order], x[order], codes
-        self.bytes = codes.code(self.x)
-        self.m = self.bytes.shape[1]
-        self.rows = [np.argsort(self.bytes[:, j], kind="stable") for j in range(self.m)]
-        self.ends = [np.concatenate([[0], np.cumsum(np.bincount(self.bytes[:, j], minlength=256))]) for j in range(self.m)]
-        self.balls = [np.flatnonzero(_POP <= a) for a in range(SUB + 1)]
+        self.ids, self.x, self.codes = ids, x, codes
+        self.words = codes.code(x)
+        self.m, self.probed, self.last = self.words.shape[1], 0, 0
+        self.rows = [np.argsort(self.words[:, j], kind="stable") for j in range(self.m)]
+        self.ends = [np.concatenate([[0], np.cumsum(np.bincount(self.words[:, j], minlength=1 << SUB))]) for j in range(self.m)]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code is within ``radius``, by pigeonhole: of m substrings, one is within radius // m, and if
@@ -106,70 +113,107 @@ class Index:
             reach = min(SUB, base if j <= rest else base - 1)
             if reach < 0:
                 continue
-            keys = self.balls[reach] ^ code[j]
-            for s, e in zip(self.ends[j][keys], self.ends[j][keys + 1]):
-                if e > s:
-                    seen[self.rows[j][s:e]] = True
+            keys = ball(reach) ^ code[j]
+            at, n = self.ends[j][keys], self.ends[j][keys.astype(np.int64) + 1] - self.ends[j][keys]
+            at, n = at[n > 0], n[n > 0]
+            seen[self.rows[j][np.arange(n.sum()) + np.repeat(at - np.cumsum(n) + n, n)]] = True
         found = np.flatnonzero(seen)
-        return found[_POP[self.bytes[found] ^ code].sum(axis=1) <= radius]
+        self.last = len(found)
+        return found[np.bitwise_count(self.words[found] ^ code).sum(axis=1, dtype=np.int64) <= radius]
 
-    def nearest(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest found, without the row ``own``."""
+    def nearest(self, query: np.ndarray, own: int, k: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k nearest found, without the row ``own``, together with those ``known`` from other blocks."""
         code = self.codes.code(query[None])[0]
-        radius, asked = int(self.codes.radius[0]), -1
+        radius = int(self.codes.radius[0])
         while True:
             found = self.within(code, radius)
             found = found[self.ids[found] != own]
             diff = self.x[found] - query
-            d = np.sqrt((diff * diff).sum(axis=1))
+            ids, d = self.ids[found], np.sqrt((diff * diff).sum(axis=1))
+            if known:
+                ids, d = np.concatenate([known[0], ids]), np.concatenate([known[1], d])
             if len(d) > k:  # all that tie with the k-th stay, then the smaller ids
                 best = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                best = best[np.lexsort((self.ids[found[best]], d[best]))][:k]
+                best = best[np.lexsort((ids[best], d[best]))][:k]
             else:
-                best = np.lexsort((self.ids[found], d))
+                best = np.lexsort((ids, d))
             asked = self.codes.radius_for(d[best[-1]]) if len(best) >= k else min(self.codes.bits, radius + self.codes.bits // 16)
             if asked <= radius:
-                return self.ids[found[best]], d[best]
+                self.probed += self.last
+                return ids[best], d[best]
             radius = asked
 
 
-def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
+_BALLS: dict[int, np.ndarray] = {}
+
+
+def ball(reach: int) -> np.ndarray:
+    """The substrings with at most ``reach`` bits set."""
+    if reach not in _BALLS:
+        _BALLS[reach] = np.flatnonzero(np.bitwise_count(np.arange(1 << SUB)) <= reach).astype(np.uint16)
+    return _BALLS[reach]
+
+
+def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("v")
     fine = F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))) & F.exists(v, lambda c: c != 0)
-    return vectors.where(fine & (F.size(v) == dim)) if dim else vectors.where(fine)
+    return vectors.where(fine)
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, block_rows: int = 25_000, block_queries: int = 20_000, fit_rows: int = FIT_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, block_rows: int = BLOCK_ROWS, chunk_bytes: int = CHUNK_BYTES, fit_rows: int = FIT_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest. ``vectors`` has vec_id and embedding; ``is_query`` is a condition on id."""
-    base = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    base = usable(base)
-    chosen = [r["v"] for r in base.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").collect()]
-    schema = "query_id long, vec_id long, score double"
-    if not chosen:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = [len(v) for v in chosen]
-    dim = max(set(sizes), key=lambda n: (sizes.count(n), -n))
-    codes = Codes(np.array([v for v in chosen if len(v) == dim], dtype=np.float64))
-    base = usable(base, dim)
-    n, q = base.count(), base.where(is_query).count()
-    rows, queries = max(1, -(-n // block_rows)), max(1, -(-q // block_queries))
-    dealt = base.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int").alias("_block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(queries)).cast("int").alias("_queries"))
-    left = dealt.select("id", "v", "_block", F.explode(F.sequence(F.lit(0), F.lit(queries - 1))).alias("_queries"))
-    right = dealt.where(is_query).select("id", "v", "_queries", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_block"))
-
-    def kernel(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(points) or not len(asked):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        index = Index(points["id"].to_numpy(), np.stack(points["v"].to_numpy()).astype(np.float64), codes)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for own, v in zip(asked["id"], asked["v"]):
-            ids, d = index.nearest(np.asarray(v, dtype=np.float64), own, k)
-            out.append((np.full(len(ids), own), ids, d))
-        return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
-
-    pairs = left.groupBy("_block", "_queries").cogroup(right.groupBy("_block", "_queries")).applyInPandas(kernel, schema)
+    base = usable(vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")))
+    out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for dim in sorted(r["dim"] for r in base.select(F.size("v").alias("dim")).distinct().collect()):  # one row a dimension
+        out = out.union(_of_dimension(base.where(F.size("v") == dim), dim, is_query, k, block_rows, chunk_bytes, fit_rows))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_dimension(base: DataFrame, dim: int, is_query, k: int, block_rows: int, chunk_bytes: int, fit_rows: int) -> DataFrame:
+    """The k nearest that each task finds for each query: query_id, vec_id, score. ``base``: id and v, all of one dimension."""
+    spark = base.sparkSession
+    chosen = base.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").toArrow()
+    codes = Codes(_matrix(chosen.column("v").combine_chunks(), dim))
+    asked = written(base.where(is_query), "queries")
+    chunks = max(1, -(-asked.count() * (8 * dim + 8) // chunk_bytes))
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for chunk in range(chunks):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).toArrow()
+        if not part.num_rows:
+            continue
+        held = spark.sparkContext.broadcast((part.column("id").to_numpy(), _matrix(part.column("v").combine_chunks(), dim)))
+
+        def kernel(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            owns, queries = held.value
+            best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(owns)
+            for ids, x in _blocks(batches, dim, block_rows):
+                index = Index(ids, x, codes)
+                for i, own in enumerate(owns):
+                    best[i] = index.nearest(queries[i], own, k, best[i])
+            some = [(np.full(len(b[0]), own), *b) for own, b in zip(owns, best) if b is not None]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[i] for s in some])) for i in range(3)], names=["query_id", "vec_id", "score"])
+
+        found = found.union(base.mapInArrow(kernel, "query_id long, vec_id long, score double"))
+    return found
+
+
+def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the batches, about ``rows`` rows at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column("id").to_numpy(), _matrix(batch.column("v"), dim)))
+        n += batch.num_rows
+        if n >= rows:
+            yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held, n = [], 0
+    if n:
+        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
 
 
 def brute(ids: np.ndarray, x: np.ndarray, query_ids: Iterator[int], k: int = 10) -> dict[int, list[int]]:
