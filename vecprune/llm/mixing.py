@@ -90,7 +90,7 @@ def selected(docs: DataFrame, weights: dict = WEIGHTS, total: int | None = None,
     stats = keyed.groupBy(*names).agg(F.sum("_tokens").alias("t"), F.count("*").alias("n")).collect()
     tokens = {tuple(r[n] for n in names): r["t"] for r in stats}
     budget = budgets(tokens, weights, int(share * sum(tokens.values())) if total is None else total, epochs)
-    bits = min(16, max(0, max((r["n"] for r in stats), default=1) // slice_rows).bit_length())
+    bits = min(30, max(0, max((r["n"] for r in stats), default=1) // slice_rows).bit_length())
     plan = [(*p, b // t if t else epochs, b % t if t else 0) for p, b in budget.items() for t in [tokens[p]]]
     table = spark.createDataFrame(plan or [("", "", "", 0, 0)], ", ".join(f"{n} string" for n in names) + ", _whole long, _rest long")
     rows = keyed.join(F.broadcast(table), names)
