@@ -80,6 +80,15 @@ def test_pairs_between_blocks(spark, monkeypatch):
     assert sorted(pairs) == sorted(2 * [(i, j) for j in range(20) for i in range(j) if i % 4 != j % 4])
 
 
+def test_pairs_of_least_common_bucket(spark, monkeypatch):
+    """With once, a pair comes from one of its buckets, and pairs that share the second bucket only aren't lost."""
+    monkeypatch.setattr(linededup, "SMALL", 3)
+    marks = ", ".join(f"w{w} long" for w in range(linededup.MARKS))
+    rows = [(key, i, i % 4, 20, 10, *[0] * linededup.MARKS) for key in (1, 2) for i in range(20) if key == 2 or i < 8]
+    pairs = [tuple(sorted(p)) for p in linededup._between(spark.createDataFrame(rows, f"key long, id long, root long, n long, size long, {marks}"), True).collect()]
+    assert sorted(pairs) == sorted((i, j) for j in range(20) for i in range(j) if i % 4 != j % 4)
+
+
 def test_cases(spark):
     cjk = "".join(chr(0x4E00 + i) for i in range(60))
     rows = [(1, None), (2, ""), (3, "a b c\n\na b c\r"), (4, "x" * 100_000), (5, cjk), (6, cjk[:59] + "!"), (7, "only\there"), (7, "only\there"), (8, " ".join(f"w{i}" for i in range(20_000)))]

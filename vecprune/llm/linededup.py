@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-SHINGLE, BANDS, ROWS, LEAST, SMALL, MARKS = 8, 10, 3, 0.8, 512, 16
+SHINGLE, BANDS, ROWS, LEAST, SMALL, MARKS = 8, 10, 3, 0.8, 512, 32
 WIDE = 4 * SHINGLE
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -80,24 +80,31 @@ def _banded(lines: DataFrame) -> DataFrame:
 
 
 def _marks(texts: DataFrame) -> DataFrame:
-    """id, size (distinct shingles) and words w0, w1, ... with a bit for each shingle."""
+    """id, size (distinct shingles) and words w0, w1, ... with a bit for each shingle. ``texts`` has a row an id."""
     word, bit = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(MARKS - 1)), F.expr("shiftleft(1L, cast(x & 63 AS int))")
-    marks = [F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0)).alias(f"w{w}") for w in range(MARKS)]
-    return texts.select("id", F.explode(_hashes(F.col("line"))).alias("x")).groupBy("id").agg(F.count("*").alias("size"), *marks)
+    each = texts.repartition("id").select("id", F.explode(_hashes(F.col("line"))).alias("x"))
+    words = each.groupBy("id", word.alias("word")).agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n"))
+    marks = [F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0)).alias(f"w{w}") for w in range(MARKS)]
+    return words.groupBy("id").agg(F.sum("n").alias("size"), *marks)
 
 
-def _near() -> Column:
-    """Whether x and y may be similar. Lines differ in as many shingles, at least, as in bits; at the least similarity that
-    is a ninth of both lines' shingles at most, and the sizes differ by a fifth at most, so no similar pair is missed."""
+def _near(words: int) -> Column:
+    """Whether x and y may be similar, by ``words`` of their marks, w0 and on. Lines differ in as many shingles, at least,
+    as in bits; at the least similarity that is a ninth of both lines' shingles at most, and the sizes differ by a fifth at
+    most, so no similar pair is missed."""
     sizes = F.least("x.size", "y.size") + 1e-6 >= F.greatest("x.size", "y.size") * LEAST
-    bits = sum((F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(MARKS)), F.lit(0))
-    return sizes & (bits <= (F.col("x.size") + F.col("y.size")) * (1 - LEAST) / (1 + LEAST) + 1e-6)
+    return sizes & (sum((F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(words)), F.lit(0)) <= _most())
+
+
+def _most() -> Column:
+    """How many shingles similar lines x and y may differ in."""
+    return (F.col("x.size") + F.col("y.size")) * (1 - LEAST) / (1 + LEAST) + 1e-6
 
 
 def _possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines that may be similar."""
     one = pairs.alias("p").join(marks.alias("x"), F.col("p.a") == F.col("x.id"))
-    return one.join(marks.alias("y"), F.col("p.b") == F.col("y.id")).where(_near()).select("p.a", "p.b")
+    return one.join(marks.alias("y"), F.col("p.b") == F.col("y.id")).where(_near(MARKS)).select("p.a", "p.b")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -108,16 +115,25 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(alike).select("a", "b")
 
 
-def _between(members: DataFrame) -> DataFrame:
+def _between(members: DataFrame, once: bool = False) -> DataFrame:
     """Pairs (a, b) of different components of a bucket that may be similar. ``members``: key, id, root, n (lines of the
-    bucket) and marks. Every pair of lines meets in one pair of blocks i <= j."""
+    bucket) and marks. Every pair of lines meets in one pair of blocks i <= j, in each of its common buckets or,
+    with ``once``, in the least of them only. Half as many words as the marks have, each two laid over each other, drop most pairs in generated code; all words,
+    in an array, are looped over for the rest."""
+    half = MARKS // 2
+    folded = [F.col(f"w{w}").bitwiseOR(F.col(f"w{w + half}")).alias(f"w{w}") for w in range(half)]
+    keys = members.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    members = members.select("key", "id", "root", "n", "size", F.array(*[f"w{w}" for w in range(MARKS)]).alias("wide"), *folded)
+    members = members.join(keys, "id") if once else members
     blocks = F.ceil(F.col("n") / SMALL).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     x = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).alias("x")
     y = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     differ = (F.col("x.root") < F.col("y.root")) | ((F.col("x.root") > F.col("y.root")) & (F.col("x.i") < F.col("x.j")))
-    return x.join(y, same & differ & _near()).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    here = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key") if once else F.lit(True)
+    bits = F.aggregate(F.zip_with("x.wide", "y.wide", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda n, m: n + m)
+    return x.join(y, same & differ & _near(half) & here & (bits <= _most())).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def line_components(lines: DataFrame) -> DataFrame:
@@ -137,8 +153,8 @@ def line_components(lines: DataFrame) -> DataFrame:
     roots = components(links)
     rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    of_mixed = written(rooted.join(mixed, "key").join(marks, "id"), "line-mixed")
-    pairs = written(_between(of_mixed).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-pairs")
+    in_mixed = written(rooted.join(mixed, "key"), "line-mixed")
+    pairs = written(_between(in_mixed.join(marks, "id"), True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "line-pairs")
     more = written(_similar(pairs, texts), "line-links")
     if more.isEmpty():
         return roots
