@@ -87,3 +87,21 @@ def test_sql(spark):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     got = substring.dedup_substrings(spark.read.parquet(f"{sf}/documents.parquet"))
     assert sorted(map(tuple, got.collect())) == sorted(c.execute(substring.SQL).fetchall())
+
+
+def test_many_copies_in_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(substring, "COPIES", 3)
+    monkeypatch.setattr(substring, "SHARD_RUNS", 15)
+    passages = [" ".join(f"p{k}.{i}" for i in range(40)) for k in range(3)]
+    docs = [(i, f"{i} {passages[i % 3]} end {i}") for i in range(60)] + [(100 + i, passages[0]) for i in range(30)]
+    got = substring.dedup_substrings(spark.createDataFrame(docs, DOCS).repartition(16))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs)
+
+
+def test_copies_are_decided_by_words():
+    a, b = [f"a{i}".encode() for i in range(24)], [f"b{i}".encode() for i in range(30)]
+    changed = [*a[:10], b"other", *a[11:]]
+    unlike = [*a[:10], *b[10:20]]
+    found = substring.copied([a, b], [a, a[2:], changed, unlike, b, b[:20], a], np.array([1, 1, 2, 2, 1, 2, 0]))
+    assert found.tolist() == [True, True, False, False, False, True, False]
+    assert substring.copied([], [a], np.array([0])).tolist() == [False]

@@ -2,16 +2,19 @@
 
 A window is ``WINDOW`` consecutive words of one document. A window is a repeat if its word sequence also starts earlier.
 Windows are routed so that equal ones meet: each has an anchor, the least hash among its ``GRAM``-word grams, and a run is
-a stretch of windows that share theirs. A run of words that is equal to an earlier run as a whole (by 128 bits of hash)
-repeats it in full; only the first run of each content goes on, and only if its anchor has several contents. Those runs'
-words are dealt to shards by anchor. A shard's text is its runs in document order; its FM-index (the Burrows-Wheeler
-transform in a wavelet matrix with packed bits and block counts) is searched backward from every window's last word, as long
-as the match occurs elsewhere; matches of ``WINDOW`` words are reported if the least text position in their interval is
-before the window. Words, not hashes, are compared there.
+a stretch of windows that share theirs (35 words at most). Runs of words are dealt to shards, where an FM-index (the
+Burrows-Wheeler transform in a wavelet matrix with packed bits and block counts) is searched backward:
 
-Copies of one content within a batch of documents are settled in the batch, before any shuffle, so that a content which a
-third of all documents hold comes to its task as one row a batch. Anchors with over ``HOT`` contents (a common passage in
-many surroundings) have their windows dealt one by one, by their own hash, again with one row a batch.
+* The first run of each content, if its anchor has several contents, is dealt by anchor. A shard's text is its runs in
+  document order; every window is searched from its last word on, as long as the match occurs elsewhere. Matches of
+  ``WINDOW`` words are reported if the least text position in their interval is before the window.
+* The other runs of a content (copies, by 128 bits of hash) are dealt by content, ``COPIES`` of them together with the first
+  run, which is the text there. A copy is searched as a whole, and reported if the match lies in an earlier run.
+
+Copies of one content within a batch of documents are compared with the batch's first one word by word, before any shuffle,
+so that a content which a third of all documents hold comes to the tasks as one row a batch. So hashes only choose what is
+compared: no word is removed unless words are equal. Anchors with over ``HOT`` contents (a common passage in many
+surroundings) have their windows dealt one by one, by their own hash, again with one row a batch.
 
 Defined cases: null and empty texts have no words; texts of under ``WINDOW`` words keep all of them; a null doc_id comes
 before all others; rows of one doc_id are told apart by their place in the table; repeated rows repeat the first of them;
@@ -33,9 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-WINDOW, GRAM, HOT = 20, 5, 2000
+WINDOW, GRAM, HOT, COPIES = 20, 5, 2000, 1000
 SHARD_RUNS = 40_000
 BATCH_WORDS = 500_000
+RUN, HOT_RUN, FIRST, COPY = range(4)  # kinds of runs: by anchor, by window, and a content's first and its copies
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15)
 _B_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -142,7 +146,7 @@ def _batches(batches: Iterator[pa.RecordBatch], most: int = BATCH_WORDS) -> Iter
 
 
 def _runs_of(docs: DataFrame) -> DataFrame:
-    """Runs that are the first of their content in their batch, and (where ``content`` is null) intervals of the others."""
+    """Runs that are the first of their content in their batch, and (where ``content`` is null) intervals of those equal to it."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = Hashes(), Powers()
@@ -150,11 +154,16 @@ def _runs_of(docs: DataFrame) -> DataFrame:
             size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
             flat = np.fromiter((hashes[w] for ws in words for w in ws), dtype=np.uint64, count=int(size.sum()))
             doc, start, count, anchor, content = runs(flat, size, powers)
-            first = np.zeros(len(doc), dtype=bool)
+            first, same = np.zeros(len(doc), dtype=bool), np.zeros(len(doc), dtype=bool)
             if len(doc):
-                first[np.unique(_mix(anchor) ^ content, return_index=True)[1]] = True
+                _, lead, group = np.unique(_mix(anchor) ^ content, return_index=True, return_inverse=True)
+                first[lead] = True
+                ends = start + count + WINDOW - 1
+                copies = np.flatnonzero(~first)
+                at = [x[i].tolist() for i in (copies, lead[group[copies]]) for x in (doc, start, ends)]
+                same[copies] = [words[a][b:c] == words[d][e:f] for a, b, c, d, e, f in zip(*at)]
             ids, places = np.array(doc_ids, dtype=np.int64), np.array(rows, dtype=np.int64)
-            d, s, e = joined(doc[~first], start[~first], (start + count + WINDOW - 1)[~first])
+            d, s, e = joined(doc[same], start[same], (start + count + WINDOW - 1)[same])
             key = _mix(d.astype(np.uint64) * _B + _U(1)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -236,15 +245,20 @@ class FMIndex:
         return least[back]
 
 
-def repeats(sequences: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, start) of the windows that also start earlier; sequences are in document order."""
+def _indexed(sequences: list[list[bytes]]) -> tuple[FMIndex, np.ndarray, np.ndarray, np.ndarray, dict[bytes, int]]:
+    """Index, text, sizes and begins of sequences, and the symbols of their words."""
     size = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences))
     ids: dict[bytes, int] = {}
     text = np.zeros(int(size.sum()) + len(size), dtype=np.int64)
     begin = np.cumsum(size + 1) - size - 1
     flat = np.fromiter((ids.setdefault(w, len(ids) + 1) for ws in sequences for w in ws), dtype=np.int64, count=int(size.sum()))
     text[np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)] = flat
-    index = FMIndex(text, len(ids) + 1)
+    return FMIndex(text, len(ids) + 1), text, size, begin, ids
+
+
+def repeats(sequences: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, start) of the windows that also start earlier; sequences are in document order."""
+    index, text, size, begin, _ = _indexed(sequences)
     windows = np.maximum(size - WINDOW + 1, 0)
     which = np.repeat(np.arange(len(size)), windows)
     start = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -260,27 +274,64 @@ def repeats(sequences: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return which[active], start[active]
 
 
+def copied(sequences: list[list[bytes]], patterns: list[list[bytes]], before: np.ndarray) -> np.ndarray:
+    """Which whole patterns occur in one of the first ``before`` sequences."""
+    out = np.zeros(len(patterns), dtype=bool)
+    if not sequences or not patterns:
+        return out
+    index, text, _, begin, ids = _indexed(sequences)
+    size = np.fromiter(map(len, patterns), dtype=np.int64, count=len(patterns))
+    flat = np.fromiter((ids.get(w, 0) for ws in patterns for w in ws), dtype=np.int64, count=int(size.sum()))
+    end = np.cumsum(size)
+    lo, hi = np.zeros(len(size), np.int64), np.full(len(size), len(text))
+    hi[np.unique(np.repeat(np.arange(len(size)), size)[flat == 0])] = 0  # words that the text doesn't have
+    live = hi > lo
+    for back in range(1, int(size.max()) + 1):
+        some = np.flatnonzero(live & (size >= back))
+        lo[some], hi[some] = index.extend(flat[end[some] - back], lo[some], hi[some])
+        live[some] = hi[some] > lo[some]
+    some = np.flatnonzero(live & (size > 0))
+    if len(some):
+        # Patterns differ in length, so their intervals may nest: one length at a time.
+        for length in np.unique(size[some]):
+            of = some[size[some] == length]
+            out[of] = np.searchsorted(begin, index.first_of(lo[of], hi[of]), side="right") <= before[of]
+    return out
+
+
 def _search(segments: DataFrame) -> DataFrame:
-    """Intervals of repeated windows, by shard. ``segments``: shard, doc_id, _row, start, words."""
+    """Intervals of repeated windows, by shard. ``segments``: copies, shard, kind, doc_id, _row, start, words."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "_row", "start"], kind="stable")
-        which, start = repeats([w.split() for w in pdf["words"]])
         row, at = pdf["_row"].to_numpy(), pdf["start"].to_numpy().astype(np.int64)
+        words = [w.split() for w in pdf["words"]]
+        if pdf["copies"].iloc[0]:
+            copy = pdf["kind"].to_numpy() == COPY
+            text = ~copy & ~pdf.duplicated(["kind", "_row", "start"]).to_numpy()  # a content's groups may share a shard
+            pick = np.flatnonzero(copy)
+            found = copied([words[i] for i in np.flatnonzero(text)], [words[i] for i in pick], np.cumsum(text)[pick])
+            which = pick[found]
+            start, size = np.zeros(len(which), np.int64), np.array([len(words[i]) for i in which], dtype=np.int64)
+        else:
+            which, start = repeats(words)
+            size = np.full(len(which), WINDOW)
         rows, code = np.unique(row[which], return_inverse=True) if len(which) else (row[:0], which)
-        d, s, e = joined(code, at[which] + start, at[which] + start + WINDOW)
+        d, s, e = joined(code, at[which] + start, at[which] + start + size)
         return pd.DataFrame({"_row": rows[d] if len(d) else row[:0], "start": s.astype(np.int32), "stop": e.astype(np.int32)})
 
-    return segments.groupBy("shard").applyInPandas(kernel, _INTERVALS)
+    return segments.groupBy("copies", "shard").applyInPandas(kernel, _INTERVALS)
 
 
 def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The wanted runs' words, with the key that deals them to shards. ``wanted``: _row and runs of a document."""
-    schema = "key long, doc_id long, _row long, start int, stop int, words binary"
+    schema = "kind int, key long, doc_id long, _row long, start int, stop int, words binary"
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    names = ["kind", "key", "doc_id", "_row", "start", "stop", "words"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["key", "doc_id", "_row", "start", "stop", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
         for batch in batches:
             seen: set[bytes] = set()
@@ -290,20 +341,19 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 words = split_words(batch.column("text")[i].as_py())
                 for run in sorted(batch.column("runs")[i].as_py(), key=lambda r: r["start"]):
                     s, e = run["start"], run["stop"]
-                    if not run["hot"]:
-                        rows.append((run["anchor"], doc_id, row, s, e, b" ".join(words[s:e])))
-                        continue
-                    for at in range(s, e - WINDOW + 1):
-                        window = b" ".join(words[at : at + WINDOW])
-                        digest = xxhash.xxh3_128_digest(window)
-                        if digest in seen:
-                            rows.append((None, doc_id, row, at, at + WINDOW, None))
-                        else:
-                            seen.add(digest)
-                            rows.append((int.from_bytes(digest[:8], "big", signed=True), doc_id, row, at, at + WINDOW, window))
-                if len(rows) >= 20_000:
-                    yield out(rows)
-                    rows = []
+                    if run["kind"] != HOT_RUN:
+                        rows.append((run["kind"], run["key"], doc_id, row, s, e, b" ".join(words[s:e])))
+                    else:
+                        for at in range(s, e - WINDOW + 1):
+                            window = b" ".join(words[at : at + WINDOW])
+                            if window in seen:
+                                rows.append((RUN, None, doc_id, row, at, at + WINDOW, None))
+                            else:
+                                seen.add(window)
+                                rows.append((RUN, xxhash.xxh3_64_intdigest(window) - (1 << 63), doc_id, row, at, at + WINDOW, window))
+                    if len(rows) >= 20_000:
+                        yield out(rows)
+                        rows = []
             yield out(rows)
 
     return docs.join(wanted, "_row").select("doc_id", "_row", "text", "runs").mapInArrow(kernel, schema)
@@ -313,19 +363,29 @@ def intervals(docs: DataFrame) -> DataFrame:
     """(_row, start, stop): stretches of words covered by repeated windows. ``docs``: doc_id, _row, text."""
     spark = docs.sparkSession
     # By anchor and content, so that an anchor of very many contents is in many tasks; rows of known intervals have an anchor of their own.
-    same = Window.partitionBy("anchor", "content").orderBy("doc_id", "_row", "start")
-    settled = F.col("content").isNull() | (F.col("n") > 1)
-    ranked = _runs_of(docs).withColumn("n", F.row_number().over(same)).select("anchor", "doc_id", "_row", "start", "stop", settled.alias("settled"))
+    alike = Window.partitionBy("anchor", "content")
+    ranked = _runs_of(docs).withColumns({"n": F.row_number().over(alike.orderBy("doc_id", "_row", "start")), "of": F.count("*").over(alike)})
     ranked = written(ranked, "runs")
-    known = ranked.where("settled").select("_row", "start", "stop")
-    several = ranked.where("NOT settled").groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1")
-    wanted = ranked.where("NOT settled").join(several, "anchor").groupBy("_row").agg(F.collect_list(F.struct("anchor", "start", "stop", (F.col("contents") > HOT).alias("hot"))).alias("runs"))
-    wanted = written(wanted, "wanted-runs")
-    segments = written(_segments(docs, wanted), "segments")
+    known = ranked.where("content IS NULL").select("_row", "start", "stop")
+    runs_ = ranked.where("content IS NOT NULL")
+    firsts = runs_.where("n = 1")
+    several = firsts.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1")
+    kind = F.when(F.col("contents") > HOT, HOT_RUN).otherwise(RUN)
+    group = F.expr(f"(n - 2) div {COPIES}")
+    entries = [
+        firsts.join(several, "anchor").select("_row", "start", "stop", kind.alias("kind"), F.col("anchor").alias("key")),
+        firsts.where("of > 1").withColumn("_group", F.explode(F.expr(f"sequence(0L, (of - 2) div {COPIES})"))).select("_row", "start", "stop", F.lit(FIRST).alias("kind"), F.xxhash64("content", "_group").alias("key")),
+        runs_.where("n > 1").select("_row", "start", "stop", F.lit(COPY).alias("kind"), F.xxhash64("content", group).alias("key")),
+    ]
+    every = entries[0].union(entries[1]).union(entries[2])
+    wanted = written(every.groupBy("_row").agg(F.collect_list(F.struct("kind", "key", "start", "stop")).alias("runs")), "wanted-runs")
+    segments = written(_segments(docs, wanted).withColumn("copies", F.col("kind") >= FIRST), "segments")
     known = known.union(segments.where("words IS NULL").select("_row", "start", "stop"))
     dealt = segments.where("words IS NOT NULL")
-    shards = max(1, -(-dealt.count() // SHARD_RUNS), int(spark.conf.get("spark.sql.shuffle.partitions")) if dealt.count() > SHARD_RUNS else 1)
-    return known.union(_search(dealt.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "_row", "start", "words")))
+    counts = {r["copies"]: r["count"] for r in dealt.groupBy("copies").count().collect()}
+    shards = {c: max(-(-n // SHARD_RUNS), int(spark.conf.get("spark.sql.shuffle.partitions")) if n > SHARD_RUNS else 1) for c, n in counts.items()}
+    number = F.pmod(F.xxhash64("key"), F.when(F.col("copies"), shards.get(True, 1)).otherwise(shards.get(False, 1))).cast("int")
+    return known.union(_search(dealt.select("copies", number.alias("shard"), "kind", "doc_id", "_row", "start", "words")))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
