@@ -1,3 +1,4 @@
+import os
 import re
 
 import numpy as np
@@ -11,6 +12,7 @@ from vecprune.operators.route import assign, assign_random, route_greedy, unwrit
 from vecprune.operators.sampling import expected_size, kept
 from vecprune.operators import knn
 from vecprune.operators.search import index_knn, index_knn_files, routes_of
+from vecprune.plans.stage import discard, written
 from vecprune.schema import EDGES, NODES, POINTS, QUERIES
 from vecprune.sources.clusters import read_clusters, write_clusters, written_clusters
 
@@ -204,3 +206,10 @@ def test_queries_too_large_to_broadcast(points, queries, monkeypatch):
     monkeypatch.setattr(knn, "MAX_BROADCAST_BYTES", 100)
     monkeypatch.setattr(knn, "BLOCK_BYTES", 6000)
     assert rows(exact_knn(points, queries, 7)) == want == rows(exact_knn(points, queries, 7, "sql"))
+
+
+def test_written_tables_can_be_discarded(spark):
+    table = written(spark.range(5).toDF("id"), "five")
+    assert table.count() == 5 and os.path.isdir(table.written_path)
+    discard(table)
+    assert not os.path.exists(table.written_path)

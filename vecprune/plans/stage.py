@@ -32,7 +32,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df``, written to the shared folder and read back: it survives lost executors and has no lineage."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``written`` made, before the process ends; nothing may read it afterwards."""
+    _remove(table.sparkSession, table.written_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
