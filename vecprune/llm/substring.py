@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import discard
 from .common import written
 
 WINDOW, GRAM, HOT, COPIES = 20, 5, 2000, 1000
@@ -366,7 +367,7 @@ def intervals(docs: DataFrame) -> DataFrame:
     alike = Window.partitionBy("anchor", "content")
     ranked = _runs_of(docs).withColumns({"n": F.row_number().over(alike.orderBy("doc_id", "_row", "start")), "of": F.count("*").over(alike)})
     ranked = written(ranked, "runs")
-    known = ranked.where("content IS NULL").select("_row", "start", "stop")
+    known = written(ranked.where("content IS NULL").select("_row", "start", "stop"), "known")
     runs_ = ranked.where("content IS NOT NULL")
     firsts = runs_.where("n = 1")
     several = firsts.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1")
@@ -379,7 +380,9 @@ def intervals(docs: DataFrame) -> DataFrame:
     ]
     every = entries[0].union(entries[1]).union(entries[2])
     wanted = written(every.groupBy("_row").agg(F.collect_list(F.struct("kind", "key", "start", "stop")).alias("runs")), "wanted-runs")
+    discard(ranked)
     segments = written(_segments(docs, wanted).withColumn("copies", F.col("kind") >= FIRST), "segments")
+    discard(wanted)
     known = known.union(segments.where("words IS NULL").select("_row", "start", "stop"))
     dealt = segments.where("words IS NOT NULL")
     counts = {r["copies"]: r["count"] for r in dealt.groupBy("copies").count().collect()}
