@@ -102,6 +102,6 @@ def test_copies_are_decided_by_words():
     a, b = [f"a{i}".encode() for i in range(24)], [f"b{i}".encode() for i in range(30)]
     changed = [*a[:10], b"other", *a[11:]]
     unlike = [*a[:10], *b[10:20]]
-    found = substring.copied([a, b], [a, a[2:], changed, unlike, b, b[:20], a], np.array([1, 1, 2, 2, 1, 2, 0]))
-    assert found.tolist() == [True, True, False, False, False, True, False]
-    assert substring.copied([], [a], np.array([0])).tolist() == [False]
+    found = substring.earliest([a, b, a], [a, a[2:], changed, unlike, b, b[:20], [*b, b"b"]])
+    assert found.tolist() == [0, 0, 3, 3, 1, 1, 3]
+    assert substring.earliest([], [a]).tolist() == [0]

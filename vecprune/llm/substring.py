@@ -275,9 +275,9 @@ def repeats(sequences: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return which[active], start[active]
 
 
-def copied(sequences: list[list[bytes]], patterns: list[list[bytes]], before: np.ndarray) -> np.ndarray:
-    """Which whole patterns occur in one of the first ``before`` sequences."""
-    out = np.zeros(len(patterns), dtype=bool)
+def earliest(sequences: list[list[bytes]], patterns: list[list[bytes]]) -> np.ndarray:
+    """The number of the first sequence that holds each whole pattern, beyond all numbers if none does."""
+    out = np.full(len(patterns), len(sequences), dtype=np.int64)
     if not sequences or not patterns:
         return out
     index, text, _, begin, ids = _indexed(sequences)
@@ -292,11 +292,9 @@ def copied(sequences: list[list[bytes]], patterns: list[list[bytes]], before: np
         lo[some], hi[some] = index.extend(flat[end[some] - back], lo[some], hi[some])
         live[some] = hi[some] > lo[some]
     some = np.flatnonzero(live & (size > 0))
-    if len(some):
-        # Patterns differ in length, so their intervals may nest: one length at a time.
-        for length in np.unique(size[some]):
-            of = some[size[some] == length]
-            out[of] = np.searchsorted(begin, index.first_of(lo[of], hi[of]), side="right") <= before[of]
+    for length in np.unique(size[some]):  # intervals of different lengths may nest
+        of = some[size[some] == length]
+        out[of] = np.searchsorted(begin, index.first_of(lo[of], hi[of]), side="right") - 1
     return out
 
 
@@ -306,16 +304,17 @@ def _search(segments: DataFrame) -> DataFrame:
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "_row", "start"], kind="stable")
         row, at = pdf["_row"].to_numpy(), pdf["start"].to_numpy().astype(np.int64)
-        words = [w.split() for w in pdf["words"]]
         if pdf["copies"].iloc[0]:
             copy = pdf["kind"].to_numpy() == COPY
             text = ~copy & ~pdf.duplicated(["kind", "_row", "start"]).to_numpy()  # a content's groups may share a shard
-            pick = np.flatnonzero(copy)
-            found = copied([words[i] for i in np.flatnonzero(text)], [words[i] for i in pick], np.cumsum(text)[pick])
-            which = pick[found]
-            start, size = np.zeros(len(which), np.int64), np.array([len(words[i]) for i in which], dtype=np.int64)
+            alike, patterns = pd.factorize(pdf["words"][copy])
+            patterns = [w.split() for w in patterns]
+            found = earliest([w.split() for w in pdf["words"][text]], patterns)[alike] < np.cumsum(text)[copy]
+            which = np.flatnonzero(copy)[found]
+            start = np.zeros(len(which), np.int64)
+            size = np.fromiter(map(len, patterns), dtype=np.int64, count=len(patterns))[alike[found]]
         else:
-            which, start = repeats(words)
+            which, start = repeats([w.split() for w in pdf["words"]])
             size = np.full(len(which), WINDOW)
         rows, code = np.unique(row[which], return_inverse=True) if len(which) else (row[:0], which)
         d, s, e = joined(code, at[which] + start, at[which] + start + size)
