@@ -93,6 +93,21 @@ def test_slices_do_not_matter(spark):
     assert [r[:5] for r in a] == [r[:5] for r in b]
 
 
+def test_large_trees_are_joined_not_broadcast(spark, monkeypatch):
+    _, docs = corpus(spark)
+    want = sorted(map(tuple, mixing.mix(docs, share=1.3, slice_rows=7).collect()), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    out = mixing.mix(docs, share=1.3, slice_rows=7)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(map(tuple, out.collect()), key=str) == want
+
+
+def test_many_leaves():
+    leaves = {(f"d{i % 4}", f"l{i % 50}", f"s{i}"): i % 90 for i in range(60_000)}
+    got = mixing.budgets(leaves, {("d0",): 3.0}, 10**6, 2)
+    assert len(got) == 60_000 and sum(got.values()) == 10**6
+
+
 def test_cases(spark):
     rows = [(1, None, None, None, "z"), (1, None, None, None, "z"), (2, "", "en", "src1", "z"), (None, "a b", "en", "x" * 50 + "9" * 30, "z"), (4, "w " * 100_000, "de", "src2", "z")]
     docs = spark.createDataFrame(rows, DOCS + ", domain string")

@@ -22,6 +22,8 @@ LEVELS = ("domain", "lang", "source")
 # Targets of the registered query: weights of paths; children without one weigh 1.
 WEIGHTS = {("d0",): 4.0, ("d1",): 3.0, ("d2",): 2.0, ("d3",): 1.0, **{(d, lang): w for d in ("d0", "d1", "d2", "d3") for lang, w in (("en", 4.0), ("de", 2.0), ("fr", 2.0), ("es", 2.0))}}
 DOMAINS, EPOCHS, SHARE, SEED = 4, 2, 0.8, 23
+#: Tables of a row a leaf are broadcast up to this size, and joined by shuffle beyond.
+BROADCAST_BYTES = 64 << 20
 
 
 def domain_of(source: Column) -> Column:
@@ -54,7 +56,8 @@ def split(budget: int, children: list[tuple[str, float, int]]) -> dict[str, int]
         for n, _, m in full:
             out[n] = m
             budget -= m
-        open_ = [c for c in open_ if c not in full]
+        filled = {n for n, _, _ in full}
+        open_ = [c for c in open_ if c[0] not in filled]
         if not open_ and budget:
             rest = [(n, 1.0, m) for n, _, m in children if m > 0 and not out[n]]
             open_ = sorted(rest, key=lambda c: c[0])
@@ -64,16 +67,17 @@ def split(budget: int, children: list[tuple[str, float, int]]) -> dict[str, int]
 def budgets(leaves: dict[tuple[str, ...], int], weights: dict[tuple[str, ...], float], total: int, epochs: int) -> dict[tuple[str, ...], int]:
     """Token budget of every leaf. ``leaves``: tokens by path."""
     out: dict[tuple[str, ...], int] = {}
+    most: dict[tuple[str, ...], dict[str, int]] = {}
+    for leaf, n in leaves.items():
+        for i, name in enumerate(leaf):
+            family = most.setdefault(leaf[:i], {})
+            family[name] = family.get(name, 0) + n * epochs
 
     def down(path: tuple[str, ...], budget: int) -> None:
         if path in leaves:
             out[path] = budget
             return
-        most: dict[str, int] = {}
-        for leaf, n in leaves.items():
-            if leaf[: len(path)] == path:
-                most[leaf[len(path)]] = most.get(leaf[len(path)], 0) + n * epochs
-        for name, share in split(budget, [(n, weights.get((*path, n), 1.0), m) for n, m in most.items()]).items():
+        for name, share in split(budget, [(n, weights.get((*path, n), 1.0), m) for n, m in most[path].items()]).items():
             down((*path, name), share)
 
     if leaves:
@@ -93,7 +97,9 @@ def selected(docs: DataFrame, weights: dict = WEIGHTS, total: int | None = None,
     bits = min(30, max(0, max((r["n"] for r in stats), default=1) // slice_rows).bit_length())
     plan = [(*p, b // t if t else epochs, b % t if t else 0) for p, b in budget.items() for t in [tokens[p]]]
     table = spark.createDataFrame(plan or [("", "", "", 0, 0)], ", ".join(f"{n} string" for n in names) + ", _whole long, _rest long")
-    rows = keyed.join(F.broadcast(table), names)
+    size = sum(len(name.encode()) for p in budget for name in p) + 64 * len(budget)
+    each_leaf = F.broadcast if size <= BROADCAST_BYTES else lambda t: t.hint("merge")  # whose skewed partitions are split
+    rows = keyed.join(each_leaf(table), names)
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_whole"), F.col("_id")), 1)
     rows = rows.withColumn("_h", h).withColumn("_slice", F.shiftright("_h", 63 - bits).cast("int"))
     at = [*names, "_slice"]
@@ -102,7 +108,7 @@ def selected(docs: DataFrame, weights: dict = WEIGHTS, total: int | None = None,
     ends = slices.where("_before < _rest").groupBy(*names).agg(F.max(F.struct("_slice", "_before")).alias("_end"))
     ends = ends.select(*names, F.col("_end._slice").alias("_cut"), F.col("_end._before").alias("_before"))
     full = rows.where("_whole > 0").withColumn("_epoch", F.explode(F.expr("sequence(0, _whole - 1)"))).withColumn("_taken", F.col("_tokens"))
-    cut = rows.where("_rest > 0").join(F.broadcast(ends), names)  # one row a leaf, like the budgets
+    cut = rows.where("_rest > 0").join(each_leaf(ends), names)  # one row a leaf, like the budgets
     inside = cut.where("_slice < _cut").withColumn("_epoch", F.col("_whole")).withColumn("_taken", F.col("_tokens"))
     start = F.col("_before") + F.coalesce(F.sum("_tokens").over(Window.partitionBy(*at).orderBy("_h", "_id", "_tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = cut.where("_slice = _cut").withColumn("_start", start).where("_start < _rest").withColumn("_epoch", F.col("_whole")).withColumn("_taken", F.least("_tokens", F.col("_rest") - F.col("_start")))
