@@ -213,3 +213,21 @@ def test_written_tables_can_be_discarded(spark):
     assert table.count() == 5 and os.path.isdir(table.written_path)
     discard(table)
     assert not os.path.exists(table.written_path)
+
+
+def test_sql_scan_ranks_few_pairs(spark, monkeypatch):
+    """The scan in built-in functions ranks a small part of the pairs, also when many vectors are equal, and loses none."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(3000, 6)).astype(np.float32)
+    vectors[::3] = vectors[0]
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "point_id long, descriptor array<float>")
+    queries = points.where("point_id % 50 = 0").withColumnRenamed("point_id", "query_id")
+    ranked, plain = [], knn.topk
+    monkeypatch.setattr(knn, "topk", lambda candidates, k: ranked.append(candidates.count()) or plain(candidates, k))
+    got = sorted(map(tuple, knn.exact_knn(points, queries, 10, "sql").collect()))
+    assert sum(ranked) < 3000 * 60 / 4
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, knn.exact_knn(points, queries, 10).collect()))
+    few = points.where("point_id < 7")
+    assert sorted(map(tuple, knn.exact_knn(few, queries, 10, "sql").collect())) == sorted(map(tuple, knn.exact_knn(few, queries, 10).collect()))
+    assert knn.exact_knn(few.where("point_id < 0"), queries, 10, "sql").count() == 0

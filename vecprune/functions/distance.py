@@ -20,6 +20,15 @@ def sq_l2(a: Column | str, b: Column | str) -> Column:
     return F.when(F.size(a) == F.size(b), fold).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("double"))
 
 
+def sq_l2_wide(a: list[str], b: list[str]) -> Column:
+    """Distance of two vectors with a column a component. Spark compiles it; a fold over arrays it interprets."""
+    total = F.lit(0.0)
+    for x, y in zip(a, b, strict=True):
+        diff = F.col(x) - F.col(y)
+        total = total + (diff * diff).cast("double")
+    return total
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column as rows of 32-bit floats; rows of different lengths are an error."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import matrix, nearest, sq_l2, sq_l2_pairs
+from ..functions.distance import matrix, nearest, sq_l2, sq_l2_pairs, sq_l2_wide
 
 #: Bytes of vectors that a task may hold of a broadcast side; beyond, both sides are dealt into blocks of ``BLOCK_BYTES``.
 MAX_BROADCAST_BYTES = 128 << 20
 BLOCK_BYTES = 16 << 20
+#: Components compared in a task of the scan in built-in functions.
+PAIRS_A_TASK = 1 << 30
 
 
 def extent(vectors: DataFrame) -> tuple[int, int]:
@@ -75,7 +78,7 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, engine: str = "arro
     if not fits(queries):
         return topk(_in_blocks(points, queries, k), k)
     if engine == "sql":
-        return topk(cross_distances(points, queries), k)
+        return _by_bounds(points, queries, k)
     asked = queries.toArrow()
     ids, vectors = asked.column("query_id").to_numpy(), matrix(asked.column("descriptor"))
     held = points.sparkSession.sparkContext.broadcast((ids, vectors))
@@ -89,6 +92,43 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, engine: str = "arro
     return topk(points.mapInArrow(kernel, "query_id long, point_id long, dist double"), k)
 
 
+def _by_bounds(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The lists in built-in functions only, without sorting all pairs.
+
+    A query's k-th pair by (dist, point_id) among some of the points is a bound on its k-th among all. Some sqrt(n * k)
+    points, by a hash of their ids, give the bounds; then every point meets every query, and only pairs up to the bound
+    are ranked: some sqrt(n * k) a query, whatever the vectors and however many are equal. A query without a bound keeps
+    all its pairs.
+    """
+    n, dim, regular = _shape(points)
+    asked, asked_dim, asked_regular = _shape(queries)
+    if not (n and asked and dim == asked_dim and regular and asked_regular and 2 * asked * (8 + 4 * dim) <= MAX_BROADCAST_BYTES):
+        return topk(cross_distances(points, queries), k)
+    tasks = max(2 * points.sparkSession.sparkContext.defaultParallelism, -(-n * asked * dim // PAIRS_A_TASK))
+    p = _wide(points, "point_id", "p", dim).repartition(min(tasks, n), "point_id")
+    q = _wide(queries, "query_id", "q", dim)
+    dist = sq_l2_wide([f"p{i}" for i in range(dim)], [f"q{i}" for i in range(dim)])
+    some = p.where(F.pmod(F.xxhash64("point_id"), F.lit(max(1, math.isqrt(n // max(1, k))))) == 0)
+    tried = topk(some.crossJoin(F.broadcast(q)).select("query_id", "point_id", dist.alias("dist")), k)
+    bounds = tried.where(F.col("rank") == k).select("query_id", F.col("dist").alias("_far"), F.col("point_id").alias("_last"))
+    bounded = q.join(bounds, "query_id", "left")
+    near = F.col("_far").isNull() | (dist <= F.col("_far"))
+    found = p.join(F.broadcast(bounded), near).select("query_id", "point_id", dist.alias("dist"), "_far", "_last")
+    return topk(found.where("_far IS NULL OR dist < _far OR point_id <= _last").select("query_id", "point_id", "dist"), k)
+
+
+def _shape(vectors: DataFrame) -> tuple[int, int, bool]:
+    """Rows, the longest vector, and whether all vectors are as long, without a null."""
+    whole = F.coalesce(F.size("descriptor") - F.size(F.array_compact("descriptor")) == 0, F.lit(False))
+    found = vectors.agg(F.count("*").alias("n"), F.max(F.size("descriptor")).alias("most"), F.min(F.size("descriptor")).alias("least"), F.bool_and(whole).alias("whole")).first()
+    return found["n"], found["most"] or 0, found["most"] == found["least"] and bool(found["whole"]) and found["most"] > 0
+
+
+def _wide(vectors: DataFrame, key: str, prefix: str, dim: int) -> DataFrame:
+    """``key`` and a column a component, which Spark knows to hold no null."""
+    return vectors.select(key, *[F.coalesce(F.get("descriptor", F.lit(i)), F.lit(0.0).cast("float")).alias(f"{prefix}{i}") for i in range(dim)])
+
+
 def _in_blocks(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Partial lists from every pair of a block of points and a block of queries, each of bounded size."""
     rows, cols = (max(1, -(-n * width // BLOCK_BYTES)) for n, width in (extent(points), extent(queries)))
