@@ -127,3 +127,25 @@ def test_unlike_lines_stay(spark):
     long = " ".join("".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(12))
     out = linededup.dedup_lines(spark.createDataFrame(list(enumerate([*unlike, long, long[:-2] + "zz"])), DOCS))
     assert [r["n_removed"] for r in out.orderBy("doc_id").collect()] == [0, 0, 0, 1]
+
+
+def test_rows_of_several_shingles(spark):
+    """Signatures and marks see every shingle, in an eighth of the rows."""
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("ab é一\U0001f600") for _ in range(n)).strip() + "." for n in [*range(40), 100, 1000]]
+    table = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    rows = linededup._together(table).collect()
+    alone = {r["id"]: set(r["x"]) for r in table.select("id", linededup._hashes(table["line"]).alias("x")).collect()}
+    for i, line in enumerate(lines):
+        mine = [r for r in rows if r["id"] == i]
+        assert len(mine) == -(-max(1, len(line) - 7) // 8)
+        assert {r[f"h{j}"] for r in mine for j in range(8)} == alone[i]
+        assert len(alone[i]) == len(shingles(line))
+
+
+def test_repeated_shingles_count_once(spark):
+    """Lines that repeat themselves are compared, and marked, by their different shingles."""
+    part = "a part of many words that comes again and again, "
+    docs = list(enumerate([part * 4, part * 9, part * 2 + "and then it ends", "x" * 50, "x" * 5000]))
+    assert sorted(map(tuple, linededup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect())) == brute(docs)
+    assert [r[0] for r in docs if len(shingles(r[1].strip())) < len(r[1]) / 2] == [0, 1, 3, 4]

@@ -3,7 +3,7 @@
 A trimmed line's shingles are the ``SHINGLE`` characters from every position, in banding and in the exact comparison; a
 shorter line is its own only shingle. They're cut from UTF-32, where a position is found at once. A signature is the least of the shingles' hashes under ``BANDS * ROWS``
 permutations (a rotation by 0 to 48 bits and an exclusive-or with a seed), all made in one aggregation of the exploded
-shingles. Bands of ``ROWS`` make buckets. Every line of a bucket is compared with four of the bucket's lines (the first and
+shingles, ``TOGETHER`` of them a row. Bands of ``ROWS`` make buckets. Every line of a bucket is compared with four of the bucket's lines (the first and
 last by hash, and by a hash of that), by exact Jaccard similarity of the shingles' hashes; distributed union-find makes components. Buckets that
 then hold several components are compared again: all pairs of different components, in buckets of more than ``SMALL`` lines
 by salted blocks of about as many. A bound from bit marks of the shingles
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-SHINGLE, BANDS, ROWS, LEAST, SMALL, MARKS = 8, 10, 3, 0.8, 512, 32
+SHINGLE, BANDS, ROWS, LEAST, SMALL, MARKS, TOGETHER = 8, 10, 3, 0.8, 512, 32, 8
 WIDE = 4 * SHINGLE
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -36,19 +36,15 @@ def _encoded(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def _places(encoded: Column) -> Column:
-    """Where the shingles of an encoded line start, from 0."""
-    return F.sequence(F.lit(0), F.greatest(F.length(encoded) - WIDE, F.lit(0)), F.lit(4))
-
-
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with ``value`` computed once however often it's used and wherever the optimizer moves it."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _hashes(line: Column) -> Column:
-    """The distinct shingles of a line, by 64-bit hashes."""
-    return _once(_encoded(line), lambda e: F.array_distinct(F.transform(_places(e), lambda i: F.xxhash64(F.substring(e, i + 1, F.lit(WIDE))))))
+    """The shingles of a line, by 64-bit hashes, one for every position."""
+    places = lambda e: F.sequence(F.lit(1), F.greatest(F.length(e) - (WIDE - 1), F.lit(1)), F.lit(4))
+    return _once(_encoded(line), lambda e: F.transform(places(e), lambda i: F.xxhash64(F.substring(e, i, F.lit(WIDE)))))
 
 
 def _trimmed(line: Column) -> Column:
@@ -70,34 +66,41 @@ def _seed(i: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def _together(lines: DataFrame) -> DataFrame:
+    """id, last (where the line's last shingle starts, in bytes) and h0, h1, ...: the hashes of ``TOGETHER`` shingles in a
+    row. A line's last row is filled with its last shingle, which changes no minimum and no mark."""
+    wide = lines.select("id", _encoded(_trimmed(F.col("line"))).alias("e")).withColumn("last", F.greatest(F.length("e") - WIDE, F.lit(0)))
+    each = wide.select("id", "e", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(4 * TOGETHER))).alias("i"))
+    return each.selectExpr("id", "last", *[f"xxhash64(substring(e, least(i + {4 * j}, last) + 1, {WIDE})) AS h{j}" for j in range(TOGETHER)])
+
+
 def _banded(lines: DataFrame) -> DataFrame:
     """(id, bands), the band keys of every distinct line. Copies of a line meet as one row of minima a task, not as texts."""
-    wide = lines.select("id", _encoded(_trimmed(F.col("line"))).alias("e"))
-    each = wide.select("id", "e", F.explode(_places(F.col("e"))).alias("i")).select("id", F.xxhash64(F.substring("e", F.col("i") + 1, F.lit(WIDE))).alias("s0"))
-    each = each.select("id", "s0", *[F.expr(f"shiftleft(s0, {16 * j}) | shiftrightunsigned(s0, {64 - 16 * j})").alias(f"s{j}") for j in (1, 2, 3)])
-    signed = each.groupBy("id").agg(*[F.min(F.col(f"s{i % 4}").bitwiseXOR(F.lit(_seed(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)])
+    each = _together(lines)
+    turned = [f"shiftleft(h{j}, {16 * t}) | shiftrightunsigned(h{j}, {64 - 16 * t}) AS h{j}_{t}" for j in range(TOGETHER) for t in (1, 2, 3)]
+    each = each.selectExpr("id", *[f"h{j} AS h{j}_0" for j in range(TOGETHER)], *turned)
+    least = [", ".join(f"h{j}_{i % 4} ^ {_seed(i)}L" for j in range(TOGETHER)) for i in range(BANDS * ROWS)]
+    signed = each.groupBy("id").agg(*[F.expr(f"min(least({x})) AS m{i}") for i, x in enumerate(least)])
     return signed.select("id", F.array(*[F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 
 def _marks(texts: DataFrame) -> DataFrame:
-    """id, size (distinct shingles) and words w0, w1, ... with a bit for each shingle. ``texts`` has a row an id."""
-    word, bit = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(MARKS - 1)), F.expr("shiftleft(1L, cast(x & 63 AS int))")
-    each = texts.repartition("id").select("id", F.explode(_hashes(F.col("line"))).alias("x"))
-    words = each.groupBy("id", word.alias("word")).agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n"))
-    marks = [F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0)).alias(f"w{w}") for w in range(MARKS)]
-    return words.groupBy("id").agg(F.sum("n").alias("size"), *marks)
+    """id, size (shingles, repeated ones too) and words w0, w1, ... with a bit for each shingle. ``texts`` has a row an id."""
+    each = _together(texts.repartition("id"))
+    words = [f"shiftrightunsigned(h{j}, 6) & {MARKS - 1} AS at{j}" for j in range(TOGETHER)]
+    each = each.selectExpr("id", "last", *words, *[f"shiftleft(1L, cast(h{j} & 63 AS int)) AS bit{j}" for j in range(TOGETHER)])
+    bits = [" | ".join(f"if(at{j} = {w}, bit{j}, 0L)" for j in range(TOGETHER)) for w in range(MARKS)]
+    return each.groupBy("id").agg(F.expr("cast(max(last) / 4 + 1 AS long) AS size"), *[F.expr(f"bit_or({x}) AS w{w}") for w, x in enumerate(bits)])
 
 
 def _near(words: int) -> Column:
     """Whether x and y may be similar, by ``words`` of their marks, w0 and on. Lines differ in as many shingles, at least,
-    as in bits; at the least similarity that is a ninth of both lines' shingles at most, and the sizes differ by a fifth at
-    most, so no similar pair is missed."""
-    sizes = F.least("x.size", "y.size") + 1e-6 >= F.greatest("x.size", "y.size") * LEAST
-    return sizes & (sum((F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(words)), F.lit(0)) <= _most())
+    as in bits; at the least similarity that is a ninth of both lines' shingles at most, so no similar pair is missed."""
+    return F.expr(" + ".join(f"bit_count(x.w{w} ^ y.w{w})" for w in range(words))) <= _most()
 
 
 def _most() -> Column:
-    """How many shingles similar lines x and y may differ in."""
+    """How many shingles similar lines x and y may differ in. Sizes that count repeated shingles only make it more."""
     return (F.col("x.size") + F.col("y.size")) * (1 - LEAST) / (1 + LEAST) + 1e-6
 
 
@@ -108,11 +111,13 @@ def _possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of similar lines."""
+    """The pairs (a, b) of similar lines. Of n shingles in common, the similarity is n in (both sizes less n). Repeated
+    shingles are told apart only if a pair isn't similar with them; arrays are exploded so that each is made once."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    sets = F.struct(_hashes(F.col("la")).alias("a"), _hashes(F.col("lb")).alias("b"))
-    alike = _once(sets, lambda s: _once(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n >= LEAST * (F.size(s["a"]) + F.size(s["b"]) - n)))
-    return both.where(alike).select("a", "b")
+    sets = both.select("a", "b", F.explode(F.array(F.struct(_hashes(F.col("la")).alias("x"), _hashes(F.col("lb")).alias("y")))).alias("s"))
+    counted = sets.select("a", "b", "s", F.explode(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("n"))
+    alike = lambda x, y: F.col("n") >= LEAST * (F.size(x) + F.size(y) - F.col("n"))
+    return counted.where(alike("s.x", "s.y") | alike(F.array_distinct("s.x"), F.array_distinct("s.y"))).select("a", "b")
 
 
 def _between(members: DataFrame, once: bool = False) -> DataFrame:
@@ -121,7 +126,7 @@ def _between(members: DataFrame, once: bool = False) -> DataFrame:
     with ``once``, in the least of them only. Half as many words as the marks have, each two laid over each other, drop most pairs in generated code; all words,
     in an array, are looped over for the rest."""
     half = MARKS // 2
-    folded = [F.col(f"w{w}").bitwiseOR(F.col(f"w{w + half}")).alias(f"w{w}") for w in range(half)]
+    folded = [F.expr(f"w{w} | w{w + half} AS w{w}") for w in range(half)]
     keys = members.groupBy("id").agg(F.collect_set("key").alias("keys"))
     members = members.select("key", "id", "root", "n", "size", F.array(*[f"w{w}" for w in range(MARKS)]).alias("wide"), *folded)
     members = members.join(keys, "id") if once else members
@@ -162,26 +167,22 @@ def line_components(lines: DataFrame) -> DataFrame:
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
-def marked_lines(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, at, removed for every line of every document row."""
-    return _marked(written(_lines(docs), "lines"))
-
-
-def _marked(lines: DataFrame) -> DataFrame:
-    places = lines.select("_row", "doc_id", "at", "id")
+def _removed(lines: DataFrame) -> DataFrame:
+    """(_row, at) of every line that goes."""
+    places = lines.where(F.col("id").isNotNull()).select("_row", "doc_id", "at", "id")
     roots = line_components(lines.where(F.col("id").isNotNull()).select("id", "line")).withColumnRenamed("node", "id")
     roots = F.broadcast(roots) if roots.count() <= MAX_BROADCAST_IDS else roots
-    rooted = places.where(F.col("id").isNotNull()).join(roots, "id", "left").select("_row", "doc_id", "at", F.coalesce("root", "id").alias("root"))
+    rooted = places.join(roots, "id", "left").select("_row", "doc_id", "at", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "_row", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("root", F.col("f._row").alias("_first_row"), F.col("f.at").alias("_first_at"))
-    marked = rooted.join(first, "root", "left").select("_row", "doc_id", "at", F.expr("_first_row IS NOT NULL AND (_row <> _first_row OR at <> _first_at)").alias("removed"))
-    return marked.union(places.where(F.col("id").isNull()).select("_row", "doc_id", "at", F.lit(False)))
+    return rooted.join(first, "root").where("_row <> _first_row OR at <> _first_at").select("_row", "at")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row per document row with lines: doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined)."""
-    gone = F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("at"))))
-    out = marked_lines(docs).groupBy("_row", "doc_id").agg(F.count("*").alias("n_lines"), gone.alias("gone"))
-    found = out.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.transform("gone", lambda i: i.cast("string")), ",").alias("removed"))
+    lines = written(_lines(docs), "lines")
+    gone = _removed(lines).groupBy("_row").agg(F.sort_array(F.collect_list("at")).alias("gone"))
+    out = lines.groupBy("_row", "doc_id").agg(F.count("*").alias("n_lines")).join(gone, "_row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    found = out.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"))
     none = docs.where(F.col("text").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("removed"))
     return found.unionByName(none)
 
@@ -189,6 +190,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def kept_text(docs: DataFrame) -> DataFrame:
     """doc_id and text without the removed lines, a row per document row with a text."""
     lines = written(_lines(docs), "lines")
-    marked = lines.select("_row", "doc_id", "at", "line").join(_marked(lines).select("_row", "at", "removed"), ["_row", "at"])
-    kept = F.sort_array(F.collect_list(F.when(~F.col("removed"), F.struct("at", "line"))))
+    marked = lines.select("_row", "doc_id", "at", "line").join(_removed(lines).withColumn("removed", F.lit(True)), ["_row", "at"], "left")
+    kept = F.sort_array(F.collect_list(F.when(F.col("removed").isNull(), F.struct("at", "line"))))
     return marked.groupBy("_row", "doc_id").agg(kept.alias("kept")).select("doc_id", F.array_join(F.transform("kept", lambda x: x["line"]), "\n").alias("text"))
