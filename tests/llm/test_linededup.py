@@ -149,3 +149,21 @@ def test_repeated_shingles_count_once(spark):
     docs = list(enumerate([part * 4, part * 9, part * 2 + "and then it ends", "x" * 50, "x" * 5000]))
     assert sorted(map(tuple, linededup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect())) == brute(docs)
     assert [r[0] for r in docs if len(shingles(r[1].strip())) < len(r[1]) / 2] == [0, 1, 3, 4]
+
+
+def test_no_pair_is_compared_twice(spark, monkeypatch):
+    """A pair that wasn't similar to an end of its bucket isn't compared again between components."""
+    rng = random.Random(11)
+    part = lambda: "".join(rng.choice("abcdefghijkl ") for _ in range(47))
+    base = [part() for _ in range(17)]
+    lines = [".".join(part() if j == i else x for j, x in enumerate(base)) + "." for i in range(17)]
+    docs = list(enumerate(lines))
+    seen, similar = [], linededup._similar
+
+    def counted(pairs, texts):
+        seen.extend(tuple(sorted(p)) for p in pairs.collect())
+        return similar(pairs, texts)
+
+    monkeypatch.setattr(linededup, "_similar", counted)
+    assert sorted(map(tuple, linededup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect())) == brute(docs)
+    assert seen and len(seen) == len(set(seen))

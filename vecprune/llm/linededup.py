@@ -5,8 +5,8 @@ shorter line is its own only shingle. They're cut from UTF-32, where a position
 permutations (a rotation by 0 to 48 bits and an exclusive-or with a seed), all made in one aggregation of the exploded
 shingles, ``TOGETHER`` of them a row. Bands of ``ROWS`` make buckets. Every line of a bucket is compared with four of the bucket's lines (the first and
 last by hash, and by a hash of that), by exact Jaccard similarity of the shingles' hashes; distributed union-find makes components. Buckets that
-then hold several components are compared again: all pairs of different components, in buckets of more than ``SMALL`` lines
-by salted blocks of about as many. A bound from bit marks of the shingles
+then hold several components are compared again: all pairs of different components that weren't compared before, in buckets
+of more than ``SMALL`` lines by salted blocks of about as many. A bound from bit marks of the shingles
 drops nearly all pairs that can't be similar before their shingles are compared.
 
 Of every component, the first line by (doc_id, row, line number) stays and all others go. Blank lines always stay.
@@ -154,12 +154,15 @@ def line_components(lines: DataFrame) -> DataFrame:
     others = members.groupBy("key").agg(F.min(mixed_up).alias("lo"), F.max(mixed_up).alias("hi")).select("key", "lo", "hi")
     ends = members.join(others, "key").select("id", F.explode(F.array("least", "most", "lo.id", "hi.id")).alias("end")).where("id <> end")
     tried = ends.select(F.greatest("id", "end").alias("a"), F.least("id", "end").alias("b")).distinct()
-    links = written(_similar(written(_possible(tried, marks), "line-pairs"), texts), "line-links")
+    compared = written(_possible(tried, marks), "line-pairs")
+    links = written(_similar(compared, texts), "line-links")
     roots = components(links)
     rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
     in_mixed = written(rooted.join(mixed, "key"), "line-mixed")
-    pairs = written(_between(in_mixed.join(marks, "id"), True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "line-pairs")
+    pairs = _between(in_mixed.join(marks, "id"), True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # Pairs that were compared and are still in different components aren't similar.
+    pairs = written(pairs.join(compared, ["a", "b"], "left_anti"), "line-pairs")
     more = written(_similar(pairs, texts), "line-links")
     if more.isEmpty():
         return roots
